@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encode, neardup, sitelines, split, unify
+from . import encode, neardup, pairs, sitelines, split, truncation, unify
 
 
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_groups(chunk_texts(spark, sf_dir), 0.6, 3).withColumnRenamed("doc", "chunk_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(table(spark, sf_dir, "rag_responses"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.occurrences(table(spark, sf_dir, "chunks")).select("chunk_id", "line_no")
 
@@ -58,4 +62,12 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p5_found, p5_clean, p6_found, p6_unified, p7_ids)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.incomplete(table(spark, sf_dir, "documents")).where("reason IS NOT NULL").select("doc_id")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p5_found, p5_clean, p6_found, p6_unified, p7_ids, p9_found, p9_report)}
