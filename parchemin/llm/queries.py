@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encode, neardup, pairs, sitelines, split, truncation, unify
+from . import boilerplate, encode, neardup, pairs, sitelines, split, truncation, unify
 
 
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(table(spark, sf_dir, "rag_responses"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.furniture(table(spark, sf_dir, "page_texts"))
+
+
+def p4_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_body(table(spark, sf_dir, "page_texts"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.occurrences(table(spark, sf_dir, "chunks")).select("chunk_id", "line_no")
 
@@ -70,4 +78,4 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p5_found, p5_clean, p6_found, p6_unified, p7_ids, p9_found, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p4_found, p4_body, p5_found, p5_clean, p6_found, p6_unified, p7_ids, p9_found, p9_report)}
