@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import broadcast_if_small, checkpoint
 
 WORDS = re.compile(r"[^\W_]+")
 SEGMENTS, WIDTH = 20, 6
@@ -185,7 +185,7 @@ def similar_sets(docs: DataFrame, threshold: float, size: int, segments: int = S
     found = candidates(reps, threshold, segments, width)
     one, two = reps.select(F.col("rid").alias("a"), F.col("fp").alias("fp_a")), reps.select(F.col("rid").alias("b"), F.col("fp").alias("fp_b"))
     near = checkpoint(_close(found.join(one, "a").join(two, "b"), threshold - LEEWAY))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(reps.select("rid", "doc"), "rid")
+    wanted = broadcast_if_small(near.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(reps.select("rid", "doc"), "rid"))
     texts = docs.select("doc", "text").where("text IS NOT NULL").join(wanted, "doc").select("rid", "text").dropDuplicates(["rid"])
     sets = _shingles(texts, size)
     pairs = near.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("set_b")), "b")

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import checkpoint, table
 from . import boilerplate, encode, neardup, pairs, sitelines, split, truncation, unify
 
 
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, text) of all chunks, and of ranked rows whose chunk is not in the chunk table."""
+    """(doc, text) of all chunks, and of ranked rows whose chunk is not in the chunk table.
+
+    Only ids are compared; the ranked texts are read again where an id is missing.
+    """
     chunks = table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("doc"), "text")
     ranked = table(spark, sf_dir, "ranked_chunks").select(F.col("chunk_id").alias("doc"), "text")
-    return chunks.unionByName(ranked.join(chunks.select("doc"), "doc", "left_anti"))
+    missing = checkpoint(ranked.select("doc").distinct().join(chunks.select("doc"), "doc", "left_anti"))
+    return chunks if missing.isEmpty() else chunks.unionByName(ranked.join(missing, "doc", "left_semi"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
