@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, table
-from . import boilerplate, encode, neardup, pairs, sitelines, split, truncation, unify
+from . import boilerplate, encode, mixing, neardup, pairs, sitelines, split, truncation, unify
 
 
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.incomplete(table(spark, sf_dir, "documents")).where("reason IS NOT NULL").select("doc_id")
 
@@ -82,4 +90,4 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p4_found, p4_body, p5_found, p5_clean, p6_found, p6_unified, p7_ids, p9_found, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p4_found, p4_body, p5_found, p5_clean, p6_found, p6_unified, p7_ids, p8_mix, p8_shares, p9_found, p9_report)}
