@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 from .encode import FOLDER, VOCABULARY, count_tokens
 
-#: Documents of a block, tokens of an output shard, rows of a hash bucket, and the key of all random choices.
-BLOCK, SHARD_TOKENS, BUCKET_ROWS, SEED = 16, 1_000_000, 20_000, 20240601
+#: Documents of a block, tokens of an output shard, least number of shards, rows of a hash bucket, and the key of all random choices.
+BLOCK, SHARD_TOKENS, LEAST_SHARDS, BUCKET_ROWS, SEED = 4, 1_000_000, 8, 20_000, 20240601
 
 
 @dataclass
@@ -146,7 +146,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, shar
     counts = {r.source: r.n for r in chosen.groupBy("source").agg(F.count("*").alias("n")).collect()}
     names = sorted(counts)
     blocks = [math.ceil(counts[n] / BLOCK) for n in names]
-    shards = shards or max(1, math.ceil(sum(s.quota for s in sources) / SHARD_TOKENS))
+    shards = shards or max(LEAST_SHARDS, math.ceil(sum(s.quota for s in sources) / SHARD_TOKENS))
     tree = splitting_tree(blocks, shards, np.random.default_rng(seed))
     firsts = np.cumsum(tree, axis=0) - tree
     ranges = [(name, k, int(firsts[k, j]), int(tree[k, j])) for j, name in enumerate(names) for k in range(shards) if tree[k, j]]
