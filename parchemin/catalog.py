@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import search
+
+#: Modules of queries; each has QUERIES and ORACLE.
+MODULES = (search,)
+
 FLAGSHIP = "bm_document_search"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: statement for module in MODULES for name, statement in module.ORACLE.items()}
