@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import search
+from .plans import corpus, features, search
 
 #: Modules of queries; each has QUERIES and ORACLE.
-MODULES = (search,)
+MODULES = (search, corpus, features)
 
 FLAGSHIP = "bm_document_search"
 

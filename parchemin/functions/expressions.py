@@ -101,6 +101,11 @@ def shortened(path: Column, most: int = 60) -> Column:
     return F.when(F.length(path) <= most, path).otherwise(F.concat(F.substring(path, 1, side), F.lit("..."), F.right(path, F.lit(side))))
 
 
+def mail_date(text: Column) -> Column:
+    """Timestamp of ``Tue, 15 Nov 1994 12:45:26 GMT``; null where it is none."""
+    return F.try_to_timestamp(F.regexp_extract(text, r"^\s*(?:\p{L}{3},\s*)?(\d{1,2} \p{L}{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
+
+
 # Vectors
 
 
