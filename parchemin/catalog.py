@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus, features, search
+from .plans import answers, corpus, features, logs, search
 
 #: Modules of queries; each has QUERIES and ORACLE.
-MODULES = (search, corpus, features)
+MODULES = (search, corpus, features, answers, logs)
 
 FLAGSHIP = "bm_document_search"
 
