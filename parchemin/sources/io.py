@@ -20,9 +20,10 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of JSON lines, and the lines that can't be read."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where("_corrupt IS NULL").drop("_corrupt"), spark.read.text(path).join(rows.where("_corrupt IS NOT NULL").select(F.col("_corrupt").alias("value")), "value", "left_semi").where("trim(value) <> ''")
+    """Rows of JSON lines, and the lines (value) that can't be read; blank lines are neither."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = lines.select("value", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("x"))
+    return parsed.where("x._corrupt IS NULL").select("x.*").drop("_corrupt"), parsed.where("x._corrupt IS NOT NULL").select("value")
 
 
 def read_json_column(df: DataFrame, column: str, schema: str) -> DataFrame:

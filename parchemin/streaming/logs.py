@@ -12,21 +12,26 @@ def read_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "parqu
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(folder)
 
 
+def _marked(events: DataFrame, time: str, delay: str) -> DataFrame:
+    """Watermark on a stream; times without zone are taken in the session's."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay) if events.isStreaming else events
+
+
 def first_seen(events: DataFrame, key: list[str], time: str, delay: str) -> DataFrame:
     """Each key once within the watermark; state older than ``delay`` is dropped."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
+    return _marked(events, time, delay).dropDuplicatesWithinWatermark(key)
 
 
 def windowed(events: DataFrame, time: str, width: str, delay: str, by: list[str], value: str = "value", slide: str | None = None) -> DataFrame:
     """(window_start, by, n, n_errors, total): tumbling windows, or sliding ones with ``slide``; rows later than ``delay`` are dropped in a stream."""
-    marked = events.withWatermark(time, delay) if events.isStreaming else events
+    marked = _marked(events, time, delay)
     grouped = marked.groupBy(F.window(time, width, slide), *by) if slide else marked.groupBy(F.window(time, width), *by)
     return grouped.agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("n_errors"), F.sum(value).alias("total")).select(F.col("window.start").alias("window_start"), *by, "n", "n_errors", F.round("total", 4).alias("total"))
 
 
 def sessions(events: DataFrame, time: str, gap: str, delay: str, by: str) -> DataFrame:
     """(by, session_start, session_end, n): activity separated by pauses of at least ``gap``."""
-    marked = events.withWatermark(time, delay) if events.isStreaming else events
+    marked = _marked(events, time, delay)
     found = marked.groupBy(F.session_window(time, gap), by).agg(F.count("*").alias("n"))
     return found.select(by, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
