@@ -22,8 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
-from .split import WHITE
+from ..session import broadcast_if_small, checkpoint
 
 #: A length is a spike with at least this many different texts and this many times the mean of the lengths around it.
 SPIKE_COUNT, SPIKE_TIMES, AROUND = 5, 8, 40
@@ -50,15 +49,30 @@ def _source(column: str = "source") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: White space and zero-width characters that may stand after the end.
+AFTER = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
+
+
 def measured(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, chars, bytes, text_key, last): last is the last non-blank line without white space around."""
-    bare = F.regexp_replace("text", f"[{WHITE}\\u200b\\u200c\\u200d\\u2060\\ufeff]+$", "")
+    """(doc_id, source, chars, bytes, text_key, line and the signs of the end): all that is needed of a non-blank text, without its text.
+
+    ``line`` is the key of a last line that may be a closing formula, null for
+    other last lines.
+    """
+    last = F.col("last")
+    dots, marked, stopped = last.rlike(DOTS), last.rlike(MARKED), last.rlike(STOPPED)
+    open_end = (F.length("last") < 80) & (~stopped | dots) & ~marked
     return (
         documents.where("text IS NOT NULL")
-        .select("doc_id", _source().alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("text_key"), bare.alias("bare"))
+        .select("doc_id", _source().alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("text_key"), F.rtrim("text", F.lit(AFTER)).alias("bare"))
         .where("bare <> ''")
         .select("doc_id", "source", "chars", "bytes", "text_key", F.trim(F.substring_index("bare", "\n", -1)).alias("last"))
-    )
+        .select(
+            "doc_id", "source", "chars", "bytes", "text_key", F.when(open_end, F.xxhash64(F.regexp_replace("last", "\\p{Nd}+", "0"))).alias("line"),
+            last.rlike(DAMAGED).alias("damaged"), marked.alias("marked"), dots.alias("dots"), (dots & last.rlike(IDIOM)).alias("idiom"), stopped.alias("stopped"), (stopped & last.rlike(ABBREVIATED)).alias("abbreviated"),
+            (~stopped & (last.rlike(ROW) | last.rlike(LINK) | last.rlike(REFERENCE) | last.rlike(DATED))).alias("form"), (~stopped & (last.rlike(ITEM) | last.rlike(LABELLED) | last.rlike(SIGNED))).alias("loose"),
+        )
+    )
 
 
 def spikes(ends: DataFrame, count: int = SPIKE_COUNT, times: float = SPIKE_TIMES) -> DataFrame:
@@ -70,17 +84,16 @@ def spikes(ends: DataFrame, count: int = SPIKE_COUNT, times: float = SPIKE_TIMES
     return histogram.withColumn("around", around).where((F.col("n") >= count) & (F.col("n") >= F.greatest(F.lit(0.25), "around") * F.lit(times))).select("source", "unit", "size", "n")
 
 
-def ending(last: Column, formula: Column, at_spike: Column) -> Column:
+def ending(formula: Column, at_spike: Column) -> Column:
     """Why a text is incomplete, null where it is complete."""
-    form = last.rlike(ROW) | last.rlike(LINK) | last.rlike(REFERENCE) | last.rlike(DATED)
-    loose = last.rlike(ITEM) | last.rlike(LABELLED) | last.rlike(SIGNED) | formula
+    c = F.col
     return (
-        F.when(last.rlike(DAMAGED), "damaged")
-        .when(last.rlike(MARKED), "marked")
-        .when(last.rlike(DOTS), F.when(~(last.rlike(IDIOM) | formula), "marked"))
-        .when(last.rlike(STOPPED), F.when(last.rlike(ABBREVIATED), "stopped"))
-        .when(form, F.lit(None))
-        .when(loose & ~(at_spike & ~formula), F.lit(None))
+        F.when(c("damaged"), "damaged")
+        .when(c("marked"), "marked")
+        .when(c("dots"), F.when(~(c("idiom") | formula), "marked"))
+        .when(c("stopped"), F.when(c("abbreviated"), "stopped"))
+        .when(c("form"), F.lit(None))
+        .when((c("loose") | formula) & (~at_spike | formula), F.lit(None))
         .when(at_spike, "spike")
         .otherwise("stopped")
     )
@@ -88,18 +101,16 @@ def ending(last: Column, formula: Column, at_spike: Column) -> Column:
 
 def incomplete(documents: DataFrame) -> DataFrame:
     """(doc_id, source, reason, at_spike) of every non-blank text; reason is null where the text is complete."""
-    ends = measured(documents)
+    ends = checkpoint(measured(documents))
     limits = broadcast_if_small(spikes(ends))
     by = {u: limits.where(F.col("unit") == u).select("source", F.col("size").alias(u), F.lit(True).alias(f"{u}_spike")) for u in ("chars", "bytes")}
     placed = ends.join(by["chars"], ["source", "chars"], "left").join(by["bytes"], ["source", "bytes"], "left")
     placed = placed.withColumn("at_spike", F.coalesce("chars_spike", "bytes_spike", F.lit(False))).drop("chars_spike", "bytes_spike")
-    open_end = (F.length("last") < 80) & (~F.col("last").rlike(STOPPED) | F.col("last").rlike(DOTS)) & ~F.col("last").rlike(MARKED)
-    key = F.xxhash64(F.regexp_replace("last", "\\p{Nd}+", "0"))
     texts = ends.select("text_key").distinct().agg(F.count("*").alias("n_all"))
-    recurring = placed.where(open_end).select(key.alias("line"), "text_key", "at_spike").distinct().groupBy("line").agg(F.count("*").alias("n"), F.count_if("at_spike").alias("n_spike"))
+    recurring = placed.where("line IS NOT NULL").select("line", "text_key", "at_spike").distinct().groupBy("line").agg(F.count("*").alias("n"), F.count_if("at_spike").alias("n_spike"))
     formulas = recurring.join(F.broadcast(texts)).where((F.col("n") >= FORMULA_COUNT) & (F.col("n") >= F.col("n_all") * F.lit(FORMULA_SHARE)) & (F.col("n_spike") * 4 < F.col("n"))).select("line", F.lit(True).alias("formula"))
-    told = placed.withColumn("line", F.when(open_end, key)).join(broadcast_if_small(formulas), "line", "left")
-    return told.select("doc_id", "source", ending(F.col("last"), F.coalesce("formula", F.lit(False)), F.col("at_spike")).alias("reason"), "at_spike")
+    told = placed.join(broadcast_if_small(formulas), "line", "left")
+    return told.select("doc_id", "source", ending(F.coalesce("formula", F.lit(False)), F.col("at_spike")).alias("reason"), "at_spike")
 
 
 def truncation_report(documents: DataFrame) -> DataFrame:
