@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import answers, corpus, features, logs, pipelines, search
+from .plans import answers, corpus, extras, features, logs, pipelines, search
 
 #: Modules of queries; each has QUERIES and ORACLE.
-MODULES = (search, corpus, features, answers, logs, pipelines)
+MODULES = (search, corpus, features, answers, logs, pipelines, extras)
 
 FLAGSHIP = "bm_document_search"
 

@@ -14,7 +14,7 @@ from . import sql as S
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, text): the stated query set, every logged question whose number is divisible by 20."""
     rows = table(spark, sf_dir, "rag_responses").select("query_id", F.col("question").alias("text")).where("text IS NOT NULL")
-    return rows.where(F.substring("query_id", 2, 12).cast("long") % 20 == 0).distinct()
+    return rows.where(F.substring("query_id", 2, 12).try_cast("long") % 20 == 0).distinct()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
