@@ -105,7 +105,7 @@ def _placed(rows: DataFrame, key: Column, amount: Column, buckets: int) -> DataF
     sums = keyed.groupBy("source", "_bucket").agg(F.count("*").alias("_n"), F.sum("_amount").alias("_s"))
     upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "_bucket", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_s0"))
-    inner = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "copy")
+    inner = Window.partitionBy("source", "_bucket").orderBy(F.shiftrightunsigned("_key", 33), "_key", "doc_id", "copy")
     ranked = keyed.withColumns({"_r": F.row_number().over(inner) - 1, "_b": F.coalesce(F.sum("_amount").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     return ranked.join(starts, ["source", "_bucket"]).withColumns({"rank": F.col("_n0") + F.col("_r"), "before": F.col("_s0") + F.col("_b")}).drop("_key", "_amount", "_bucket", "_n0", "_s0", "_r", "_b")
 
