@@ -34,11 +34,11 @@ DAMAGED = r"(�|&#?[A-Za-z0-9]{0,8}|\\(u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|<[^<>]
 MARKED = r"(?iu)(\[ ?(\.\.\.|…|suite|more) ?\]|\( ?(\.\.\.|…|suite|à suivre|continued|more|fortsetzung|sigue|continuación|continúa) ?\)|(lire|voir) la suite|lire plus|read more|continue reading|weiterlesen|mehr lesen|leer más|seguir leyendo)[\s.…»›>→]*$"
 DOTS = r"(…|\.\.\.)[\"'»”’)\]]*$"
 IDIOM = r"(?iu)(ainsi de suite|and so (on|forth)|und so (weiter|fort)|así sucesivamente|y así|usw|etc\b)"
-STOPPED = r"[.!?。！？](\s?[\"'»”’)\]*_]|\s?\[\d+\])*$"
+STOPPED = r"[.!?。！？](\s?[\"'»”’)\]*_]|\s?\[\d{1,4}\]){0,12}$"
 ABBREVIATED = r"(?iu)((^|[\s(])(cf|art|al|pp|mme|dr|nr|núm|vgl|bzw|abs|z\.\s?b|e\.g|i\.e)\.|version \d+\.|\([^()]*)$"
-ROW = r"^\s*\|.*\|$|^[^|]+( \| [^|]+)+$"
+ROW = r"^\s*\|.*\|$|^[^|]+ \| [^|].*[^|]$"
 ITEM = r"^\s*([-*•–◦]|\d{1,3}[.)])\s+\S.*[^,;:(\s]$"
-LINK = r"((https?://|www\.)\S+\.\S+|\S+@\S+\.\p{L}{2,})$"
+LINK = r"(^|[\s(<])((https?://|www\.)\S+\.\S+|[^\s@]+@[^\s@]+\.\p{L}{2,})$"
 REFERENCE = r"^\p{L}[\p{L} .°-]{0,24}[.:]\s*:?\s*\S*\d{4}[-/]\d+$"
 DATED = r"^(?=.{4,70}$)\p{Lu}(?!.*[.!?] \p{Lu}\p{Ll}*['’ ]\p{Ll}).*\b(19|20)\d\d$"
 LABELLED = r"^(?=.{4,110}$)\p{Lu}[\p{L}.'’ -]{1,24} ?: \S.*[^,;:(\s]$"

@@ -76,7 +76,7 @@ def test_white_space_of_any_width():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["mot", "Fin.", "# Titre", "\n", "\n\n", "- item", "a | 1 | b", "1.2 Sous", "\t", " ", "!"]), max_size=200), st.integers(6, 30), st.integers(0, 5))
+@given(st.lists(st.sampled_from(["mot", "Fin.", "# Titre", "\n", "\n\n", "- item", "a | 1 | b", "1.2 Sous", "\t", " ", "!"]), max_size=200), st.integers(6, 30), st.integers(1, 5))
 def test_any_text_is_kept_whole(parts, limit, overlap):
     check(" ".join(parts), limit, overlap)
 
