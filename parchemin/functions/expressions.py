@@ -53,8 +53,7 @@ def present(text: Column, phrases: list[str]) -> Column:
 def tokens(text: Column, stop: list[str] = vocab.STOP_WORDS) -> Column:
     """Lower-case tokens without stop words and single letters; empty for null."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(vocab.TOKEN), F.lit(0))
-    stops = F.array(*map(F.lit, sorted(set(stop))))
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stops, t))
+    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(sorted(set(stop))))
 
 
 def one_of(value: Column, mapping: dict[str, str], default: Column | str | None = None) -> Column:
