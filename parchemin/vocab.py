@@ -110,6 +110,85 @@ ACRONYMS = {
     "RT": "Responsable de Traitement",
     "RH": "Ressources Humaines",
     "HDS": "Hébergement de Données de Santé",
+    "EIPD": "Étude d'Impact sur la Protection des Données",
+    "AFPD": "Agent chargé de la Protection des Données",
+    "ePrivacy": "Règlement vie privée et communications électroniques",
+    "EDPS": "European Data Protection Supervisor",
+    "APD": "Autorité de Protection des Données",
+    "ICO": "Information Commissioner's Office",
+    "RIG": "Règles Internes Contraignantes",
+    "SCC": "Standard Contractual Clauses",
+    "CTC": "Clauses Types Contractuelles",
+    "CCT": "Clauses Contractuelles Types",
+    "DSAR": "Data Subject Access Request",
+    "RTBF": "Right To Be Forgotten",
+    "DDAC": "Droit d'Accès aux Données",
+    "DPB": "Data Protection Breach",
+    "FSD": "Fuite de Sécurité des Données",
+    "PSSI": "Politique de Sécurité des Systèmes d'Information",
+    "TIP": "Transfert International de données Personnelles",
+    "SCT": "Schéma de Certification des Transferts",
+    "GAD": "Garanties Appropriées pour les Données",
+    "RTD": "Registre des Traitements de Données",
+    "ROPA": "Record of Processing Activities",
+    "RVD": "Registre des Violations de Données",
+    "PET": "Privacy Enhancing Technologies",
+    "PbD": "Privacy by Design",
+    "PbDf": "Privacy by Default",
+    "VPC": "Vie Privée dès la Conception",
+    "IA": "Intelligence Artificielle",
+    "AI": "Artificial Intelligence",
+    "ML": "Machine Learning",
+    "IoT": "Internet of Things",
+    "IdO": "Internet des Objets",
+    "MPC": "Mise en conformité",
+    "POC": "Preuve de Conformité",
+    "ACC": "Accountability Conformité Continue",
+    "BLT": "Base Légale du Traitement",
+    "CI": "Consentement Informé",
+    "IM": "Intérêt Légitime",
+    "IL": "Intérêt Légitime",
+    "OL": "Obligation Légale",
+    "EP": "Exécution d'un contrat ou de mesures Précontractuelles",
+    "MI": "Mission d'Intérêt public",
+    "SV": "Sauvegarde de la Vie",
+    "RST": "Responsable et Sous-Traitant",
+    "CST": "Contrat de Sous-Traitance",
+    "SST": "Sous-Sous-Traitant",
+    "SDK": "Software Development Kit",
+    "API": "Application Programming Interface",
+    "CMP": "Consent Management Platform",
+    "PGC": "Plateforme de Gestion du Consentement",
+    "DSS": "Données Sensibles de Santé",
+    "DDS": "Données de Santé",
+    "DBG": "Données Biométriques et Génétiques",
+    "DPC": "Données de Profilage et Catégorisation",
+    "DGE": "Données de Géolocalisation Exacte",
+    "HDH": "Hébergeur de Données de Santé",
+    "PaaS": "Platform as a Service",
+    "SaaS": "Software as a Service",
+    "IaaS": "Infrastructure as a Service",
+    "CC": "Certification CNIL",
+    "LC": "Label CNIL",
+    "ISO": "International Organization for Standardization",
+    "ANSSI": "Agence Nationale de la Sécurité des Systèmes d'Information",
+    "GTA": "Gestion des Temps et Activités",
+    "CRM": "Customer Relationship Management",
+    "GRC": "Gestion de la Relation Client",
+    "SIRH": "Système d'Information de Ressources Humaines",
+    "ATS": "Applicant Tracking System",
+    "LF": "Licéité Finalité",
+    "MT": "Minimisation des données et Transparence",
+    "EQD": "Exactitude et Qualité des Données",
+    "LCD": "Limitation de la Conservation des Données",
+    "IS": "Intégrité et Sécurité",
+    "CR": "Confidentialité et Responsabilité",
+    "MSC": "Mise en demeure CNIL",
+    "SE": "Sanction Éducative",
+    "SP": "Sanction Pécuniaire",
+    "AME": "Amende",
+    "REC": "Recours",
+    "CIL": "Correspondant Informatique et Libertés",
 }
 
 # File type of each media type and extension.
