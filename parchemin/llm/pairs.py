@@ -3,10 +3,13 @@
 Openings of all responses are clustered by verified MinHash: distinct openings
 get band keys, each bucket compares its members with one representative, and
 connected components of the verified links are the clusters.  A cluster that
-recurs across unrelated prompts, after whose opening nothing but courtesy
-follows, and most of whose members speak of not answering, is a refusal
-template; its members are refusals.  Copy, language and termination checks
-label the remaining defects.
+recurs across prompts and after whose opening nothing but courtesy follows is
+a refusal template if most of its members speak of not answering, or, whatever
+its words, if it says the same to prompts that have no subject in common: it
+takes up little of them and gives no number or name of its own.  Members of a
+template are refusals, and so is a response outside any template that only
+speaks of not answering.  Copy, language and termination checks label the
+remaining defects.
 
 A response has the first defect that holds of: empty, copy, refusal,
 other_language, truncated.  Defined results: responses to null questions are
@@ -35,6 +38,8 @@ BANDS, ROWS, ALIKE = 12, 3, 0.6
 #: A template recurs across at least so many unrelated prompts; at most so many words of its own may follow it.
 PROMPTS, REST = 3, 3
 OPENING_WORDS = 25
+#: Of a template told by its use alone: least words (a shorter one may be a short answer), greatest share of its words that the prompts hold, least share of prompts that makes a word their common subject.
+SAID, TAKEN_UP, COMMON = 5, 0.34, 0.5
 
 WORD = re.compile(r"[^\W_]+")
 CITATION = re.compile(r"\[\s*\d+(?:\s*[,;-]\s*\d+)*\s*\]")
@@ -60,6 +65,8 @@ REFUSAL = re.compile(
     r"|nichts (dazu )?sagen|nicht beantworte[nt]|fehlen mir|keine (auskunft|antwort|angaben) (geben|möglich)|(kann|darf|möchte) ich (dazu |darauf |ihnen |hierzu )*(nichts|nicht|keine)|konnte nicht (erstellt|geschrieben|verfasst|erzeugt)|außerhalb meines|quellen (sagen|enthalten) nichts|wurde (abgebrochen|unterbrochen)|lehne .{0,30}ab"
     r"|no puedo (responder|contestar|ayudar|atender)|prefiero no|fuentes no (dicen|contienen) nada|no (se pudo|ha podido|me es posible)|fuera de mi|se interrumpió|ha fallado|dejo (esta|esa) pregunta|no tengo (fuentes|permiso))"
 )
+#: An opening that answers yes or no.
+POLAR = re.compile(r"(?i)^[\W_]*(?:oui|non|si|yes|no|ja|nein|doch|sí)\s*[,.;:!–—-]")
 # Frequent words of the four languages of the corpus that the others lack.
 LANGUAGE_WORDS = {
     "fr": "le la les des du un une et est en pour dans sur au aux par avec sans que qui ce cette ne pas plus son sa ses leur il elle nous vous je ou où à été sont doit peut comme lors ainsi dès afin selon chez quels quelles quel quelle combien comment faut oui non jamais jours mois article l d qu s n c j y ans leurs quand lorsque puisque tant après avant sous entre",
@@ -187,17 +194,34 @@ def opening_key(opening: str) -> str:
     return " ".join(words)
 
 
+def subjects(asked: str) -> list[str]:
+    """Words of a prompt that are not among the frequent ones of a language."""
+    return sorted({w for w in WORD.findall(asked.lower()) if w not in WEIGHTS})
+
+
+def own_values(asked: str, opening: str) -> list[str]:
+    """Numbers and names of an opening that its prompt lacks."""
+    known = set(WORD.findall(asked.lower()))
+    return sorted({w.lower() for k, w in enumerate(opening.split()) if (any(c.isdigit() for c in w) or (k and w[0].isupper())) and w.lower() not in known})
+
+
+def taken_up(asked: str, opening: str) -> float:
+    """Share of the words of an opening, frequent ones aside, that are in its prompt."""
+    said = subjects(opening)
+    return len(set(said) & set(subjects(asked))) / len(said) if said else 0.0
+
+
 def _shingles(key: str) -> np.ndarray:
     words = key.split()
     grams = words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
     return np.unique(np.array([xxhash.xxh3_64_intdigest(g) for g in grams], np.uint64))
 
 
-ASSESSED = "query_id string, defect string, opening string, opening_id long, prompt_id long, rest int, telling boolean"
+ASSESSED = "query_id string, defect string, opening string, opening_id long, prompt_id long, rest int, telling boolean, said int, taken_up double, values array<string>, subjects array<string>"
 
 
 def assess(responses: DataFrame) -> DataFrame:
-    """Each response once with the checks that need nothing but itself, and its opening."""
+    """Each response once with the checks that need nothing but itself, and its opening; the last four columns only of responses that end with it."""
 
     def signed(text: str) -> int:
         return xxhash.xxh3_64_intdigest(text) - (1 << 63)
@@ -207,13 +231,15 @@ def assess(responses: DataFrame) -> DataFrame:
             rows = []
             for query, question, answer in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 asked, said = plain(question), plain(answer or "")
-                defect, opening, rest, telling = None, "", 0, False
+                defect, opening, rest, telling, use = None, "", 0, False, (0, 0.0, [], [])
                 if is_empty(said):
                     defect = "empty"
                 elif is_copy(asked, said):
                     defect = "copy"
                 else:
                     opening, rest, telling = refusal_parts(said)
+                    if rest <= REST and not POLAR.match(said):
+                        use = len(opening.split()), taken_up(asked, opening), own_values(asked, opening), subjects(asked)
                     opening = opening_key(opening)
                     one, _ = language(asked)
                     two, lead = language(said)
@@ -221,8 +247,8 @@ def assess(responses: DataFrame) -> DataFrame:
                         defect = "other_language"
                     elif is_truncated(said):
                         defect = "truncated"
-                rows.append((query, defect, opening, signed(opening), signed(" ".join(WORD.findall(asked.lower()))), rest, telling))
-            types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+                rows.append((query, defect, opening, signed(opening), signed(" ".join(WORD.findall(asked.lower()))), rest, telling, *use))
+            types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
             columns = zip(*rows, strict=True) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in ASSESSED.split(", ")])
 
@@ -272,13 +298,29 @@ def opening_clusters(assessed: DataFrame) -> DataFrame:
     return components(_verified(pairs.join(other, "b"))).toDF("opening_id", "cluster")
 
 
+def _told_by_use(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """(cluster) of the recurring clusters ``found`` (cluster, prompts, n) that say the same, without values of their own, to prompts of no common subject."""
+    rows = placed.join(found, "cluster")
+    common = lambda column: rows.select("cluster", "prompts", "prompt_id", F.explode(column).alias("word")).groupBy("cluster", "prompts", "word").agg(F.countDistinct("prompt_id").alias("k"))
+    related = common("subjects").where(F.col("k") > COMMON * F.col("prompts")).select("cluster").distinct()
+    # A number or name that half of the prompts get belongs to the template, e.g. a noun in German.
+    fixed = common("values").where(F.col("k") * 2 >= F.col("prompts")).select("cluster", "word")
+    own = rows.select("cluster", "n", "query_id", F.explode("values").alias("word")).join(fixed, ["cluster", "word"], "left_anti")
+    valued = own.groupBy("cluster", "n").agg(F.countDistinct("query_id").alias("k")).where("k * 2 >= n").select("cluster")
+    return found.select("cluster").join(related, "cluster", "left_anti").join(valued, "cluster", "left_anti")
+
+
 def templates(assessed: DataFrame) -> DataFrame:
-    """(opening_id) of the refusal templates: clusters that recur, stand alone in their answers and mostly speak of not answering."""
+    """(opening_id) of the refusal templates: clusters that recur and stand alone in their answers, and that mostly speak of not answering or are told by their use."""
     placed = assessed.where("opening <> ''").join(opening_clusters(assessed), "opening_id", "left").withColumn("cluster", F.coalesce("cluster", "opening_id"))
-    stats = placed.groupBy("cluster", "prompt_id").agg(F.count("*").alias("n"), F.count_if("telling").alias("telling"), F.count_if(F.col("rest") <= REST).alias("alone"))
-    found = stats.groupBy("cluster").agg(F.count("*").alias("prompts"), F.sum("n").alias("n"), F.sum("telling").alias("telling"), F.sum("alone").alias("alone"))
-    refusals = found.where((F.col("prompts") >= PROMPTS) & (F.col("telling") * 2 >= F.col("n")) & (F.col("alone") * 2 >= F.col("n"))).select("cluster")
-    return placed.join(refusals, "cluster", "left_semi").select("opening_id").distinct()
+    stats = placed.groupBy("cluster", "prompt_id").agg(
+        F.count("*").alias("n"), F.count_if("telling").alias("telling"), F.count_if(F.col("rest") <= REST).alias("alone"), F.count_if((F.col("said") >= SAID) & (F.col("taken_up") <= TAKEN_UP)).alias("apart")
+    )
+    found = stats.groupBy("cluster").agg(F.count("*").alias("prompts"), *(F.sum(c).alias(c) for c in ("n", "telling", "alone", "apart")))
+    recurring = checkpoint(found.where((F.col("prompts") >= PROMPTS) & (F.col("alone") * 2 >= F.col("n"))))
+    told = recurring.where(F.col("telling") * 2 >= F.col("n")).select("cluster")
+    by_use = _told_by_use(placed, recurring.where((F.col("telling") * 2 < F.col("n")) & (F.col("apart") * 2 >= F.col("n"))).select("cluster", "prompts", "n"))
+    return placed.join(told.unionByName(by_use), "cluster", "left_semi").select("opening_id").distinct()
 
 
 def defects(responses: DataFrame) -> DataFrame:

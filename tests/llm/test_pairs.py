@@ -60,6 +60,22 @@ def test_templates_across_prompts(spark):
     assert found == {f"r{k}": "refusal" for k in range(5)} | {"e": "empty", "c": "copy", "t": "truncated", "o": "other_language"}
 
 
+UNRELATED = ["Quel budget prévoir pour un audit ?", "Qui nomme le délégué ?", "Les badges sont-ils obligatoires ?", "Que vaut une signature scannée ?"]
+
+
+def test_templates_outside_the_word_list(spark):
+    """A wording that the list lacks is told by its use; recurring short, yes-or-no, valued and topical answers are not."""
+    listed = ["Le sujet reste entièrement ouvert de mon côté.", "Le sujet reste entièrement ouvert de mon côté. Réessayez plus tard."]
+    assert not any(P.refusal_parts(a)[2] for a in listed)
+    rows = [(f"r{k}", q, listed[k % 2]) for k, q in enumerate(UNRELATED)]
+    rows += [(f"g{k}", q, "Zu diesem Thema schweigt meine Sammlung leider völlig.") for k, q in enumerate(["Wer ernennt den Beauftragten?", "Welche Kosten hat eine Prüfung?", "Sind Ausweise Pflicht?"])]
+    rows += [(f"s{k}", q, "Cela dépend vraiment.") for k, q in enumerate(UNRELATED)] + [(f"p{k}", q, "Non, jamais sans un accord écrit préalable.") for k, q in enumerate(UNRELATED)]
+    rows += [(f"v{k}", q, f"{k + 6} mois à compter de la collecte.") for k, q in enumerate(UNRELATED)] + [(f"n{k}", q, f"La décision revient toujours au service {w}.") for k, (q, w) in enumerate(zip(UNRELATED, ["Paie", "Achats", "Juridique", "Accueil"], strict=True))]
+    rows += [(f"t{k}", f"{start} les factures ?", "La loi fixe cette obligation pour chaque commerçant.") for k, start in enumerate(["Pourquoi archiver", "Qui doit garder", "Comment classer"])]
+    found = {r.query_id: r.defect_type for r in P.defects(frame(spark, rows)).collect()}
+    assert found == {x: "refusal" for x in ("r0", "r1", "r2", "r3", "g0", "g1", "g2")}
+
+
 def test_alike_openings_are_one_cluster(spark):
     rows = [(f"r{k}", f"Question {k} ?", f"Je ne suis pas en mesure de me prononcer sur {t}.") for k, t in enumerate(["la biométrie", "les traceurs", "la paie", "le recrutement"])]
     clusters = {r.cluster for r in P.opening_clusters(P.assess(frame(spark, rows))).collect()}
