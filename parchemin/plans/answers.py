@@ -27,6 +27,13 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("context"))
 
 
+def whole_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, context): the texts of all ranked chunks of a query; the ranking itself bounds the list."""
+    rows = table(spark, sf_dir, "ranked_chunks").distinct()
+    texts = F.array_sort(F.collect_list(F.struct("original_rank", "chunk_id", "text")))
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(texts, lambda x: x["text"]), "\n").alias("context"))
+
+
 def qr_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with an acronym put before them, expanded."""
     acronym = F.element_at(F.array(*map(F.lit, ["AIPD", "DPO", "xyz"])), F.pmod(F.length("question"), F.lit(3)) + 1)
@@ -85,11 +92,22 @@ def cx_source_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cx_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length of each query's context under a budget of 3000 characters, and whether it is cut."""
+    """As its statement says: length of the context of three chunks, and whether 3000 characters cut it; ``cx_context_whole`` is the context of all."""
     rows = contexts(spark, sf_dir)
     return rows.select("query_id", F.length("context").alias("n_chars"), (F.length("context") > 3000).alias("is_cut"), F.md5(F.substring("context", 1, 3000)).alias("context_md5"))
 
 
+#: Characters of a context, and what stands after a longer one.
+GATE, CUT = 32_000, "\n\n[...contexte tronqué...]"
+
+
+def cx_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of the context of all ranked chunks of each query, whether the gate cuts it, and what is given."""
+    long = F.length("context") > GATE
+    given = F.when(long, F.concat(F.substring("context", 1, GATE), F.lit(CUT))).otherwise(F.col("context"))
+    return whole_contexts(spark, sf_dir).select("query_id", F.length("context").alias("n_chars"), long.alias("is_cut"), F.md5(given).alias("context_md5"))
+
+
 def cx_without_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = A.without_sources(F.col("answer"))
     return responses(spark, sf_dir).where("answer IS NOT NULL").select("query_id", F.md5(clean).alias("answer_md5"), (F.length(clean) < F.length("answer")).alias("shortened"))
@@ -101,14 +119,33 @@ def cx_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def val_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed checks and score of each answer against its sources and context."""
-    rows = cited(spark, sf_dir).join(contexts(spark, sf_dir), "query_id", "left")
+    """Failed checks and score of each answer against its sources and, as the statement says, three chunks; ``val_grounding_whole`` takes all."""
+    return _grounding(spark, sf_dir, contexts(spark, sf_dir))
+
+
+def val_grounding_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed checks and score of each answer against its sources and all its ranked chunks."""
+    return _grounding(spark, sf_dir, whole_contexts(spark, sf_dir))
+
+
+def _grounding(spark: SparkSession, sf_dir: str, context: DataFrame) -> DataFrame:
+    rows = cited(spark, sf_dir).join(context, "query_id", "left")
     found = A.issues(F.col("answer"), F.col("available"), F.col("context"))
     return rows.select("query_id", F.array_join(found, ",").alias("issues"), A.grounding_score(found).alias("score"))
 
 
 def val_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cited(spark, sf_dir).join(contexts(spark, sf_dir), "query_id", "left")
+    """Unsupported details against three chunks, as the statement says; ``val_unsupported_whole`` takes all."""
+    return _unsupported(spark, sf_dir, contexts(spark, sf_dir))
+
+
+def val_unsupported_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts, articles and dates of each answer that none of its ranked chunks has."""
+    return _unsupported(spark, sf_dir, whole_contexts(spark, sf_dir))
+
+
+def _unsupported(spark: SparkSession, sf_dir: str, context: DataFrame) -> DataFrame:
+    rows = cited(spark, sf_dir).join(context, "query_id", "left")
     found = A.unsupported(F.col("answer"), F.col("context"))
     return rows.select("query_id", F.size(found).alias("n"), F.array_join(F.slice(found, 1, 3), " ; ").alias("first_three"))
 
@@ -178,7 +215,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         qr_expanded, qr_tags, qr_reformulations, qr_intents, qr_articles, qr_deadlines, cx_citations, cx_source_cards, cx_context, cx_without_sources, cx_sections, val_grounding, val_unsupported, val_invented, val_polished, val_json, ev_scores,
-        ev_report, ev_extremes, ev_runs,
+        ev_report, ev_extremes, ev_runs, cx_context_whole, val_grounding_whole, val_unsupported_whole,
     )
 }
 
