@@ -100,6 +100,13 @@ def main_text(html: str | None, most: int = 4000) -> str:
     return text if len(text) <= most else f"{text[:half]}\n[...]\n{text[-half:]}"
 
 
+def preview(html: str | None, words: int = 800) -> str:
+    """``Titre:`` with the first h1 or title of the page, and the first words of the content root."""
+    page = parse(html)
+    title = next((e.text() for e in page.walk() if e.tag in ("h1", "title")), "")
+    return f"Titre: {title}\n\n" + " ".join(content_root(page)[0].text(dropped=PAGE_DROPPED).split()[:words])
+
+
 def table_rows(table: Element) -> list[list[str]]:
     """Cells of each row that has any text."""
     rows = []

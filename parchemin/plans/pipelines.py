@@ -40,8 +40,8 @@ def ht_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ht_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heading and the first 50 words."""
-    return chunking.explode_rows(_html(spark, sf_dir), ["key", "html"], lambda key, html: [(key, " ".join(H.main_text(html, 4000).split()[:50]))], "key string, preview string")
+    """Title and the first 800 words of the whole main block."""
+    return chunking.explode_rows(_html(spark, sf_dir), ["key", "html"], lambda key, html: [(key, H.preview(html))], "key string, preview string")
 
 
 def ht_sections(spark: SparkSession, sf_dir: str) -> DataFrame:

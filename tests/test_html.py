@@ -1,6 +1,7 @@
 """HTML extraction on small pages, one for each branch."""
 
 from parchemin.functions import html as H
+from parchemin.plans import pipelines
 
 
 def page(inner: str) -> str:
@@ -23,6 +24,15 @@ def test_long_text_loses_its_middle():
     assert H.main_text("<main>" + "a" * 10 + "</main>", 4) == "aa\n[...]\naa"
 
 
+def test_preview_has_title_and_800_words_of_the_uncut_text(spark, tables):
+    words = [f"mot{k}" for k in range(1000)]
+    html = "<html><head><title>Le titre</title></head>" + page(f"<main><header>bandeau</header><p>{' '.join(words)}</p></main>")
+    assert H.preview(html) == "Titre: Le titre\n\n" + " ".join(words[:800])
+    assert H.preview(page("<main><h1>Un <b>sujet</b></h1><p>a</p></main>")) == "Titre: Un sujet\n\nUn sujet a" and H.preview(None) == "Titre: \n\n"
+    rows = pipelines.ht_preview(spark, tables).collect()
+    assert all(r.preview.startswith("Titre: ") for r in rows) and max(len(r.preview.split()) for r in rows) > 51
+
+
 def test_null_and_broken_pages():
     assert H.main_text(None) == ""
     assert H.main_text("<p>a<p>b</div></main>") == "a b"
