@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side may be broadcast after it has been counted.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side may be broadcast after it has been measured.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Rows beyond which one key of a looked-up side is taken out of the shuffle.
+HOT_ROWS = 1_000_000
 
 
 def build_session(app: str = "parchemin", master: str | None = None, **conf: str) -> SparkSession:
@@ -21,6 +25,7 @@ def build_session(app: str = "parchemin", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     } | conf
     for key, value in settings.items():
@@ -36,18 +41,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder that all executors share and cut its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary folder is used only where the setting is absent (tests).
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where
+    the setting is absent a temporary folder serves a local session (tests); on
+    a cluster that folder would lie on single machines, so it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parchemin-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Checkpoint and count ``df``; hint a broadcast only where it has at most ``limit`` rows."""
+def _width(name: str, kind: T.DataType) -> Column:
+    """Bytes of a column in a row, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 8
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.length(F.to_json(F.struct(name))), F.lit(0)) * 2
+    return F.lit(8)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Checkpoint and measure ``df``; a broadcast where it has at most ``limit`` rows and ``limit_bytes`` bytes, otherwise a sort-merge join.
+
+    The second hint keeps the planner from a broadcast of its own, which it
+    would base on an estimate that counts neither exploded nor Python rows.
+    """
     kept = checkpoint(df)
-    return F.broadcast(kept) if kept.count() <= limit else kept
+    row = sum((_width(f.name, f.dataType) for f in kept.schema), F.lit(8))
+    rows, size = kept.agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
+    return F.broadcast(kept) if rows <= limit and size <= limit_bytes else kept.hint("merge")
+
+
+def hot_keys(df: DataFrame, on: str, rows: int = HOT_ROWS) -> DataFrame | None:
+    """The values of ``on`` with more than ``rows`` rows, at most a ``rows``-th of all; None where there is none."""
+    keys = checkpoint(df.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).select(on))
+    return None if keys.isEmpty() else broadcast_if_small(keys)
+
+
+def lookup(df: DataFrame, values: DataFrame, on: str, hot: DataFrame | None) -> DataFrame:
+    """Inner join of ``df`` with ``values``, which has one row for each key.
+
+    The rows of the keys in ``hot`` stay where they are and get their value by
+    broadcast, so that no key meets in one task; the others are shuffled.
+    """
+    if hot is None:
+        return df.join(values.hint("merge"), on)
+    often = df.join(hot, on, "left_semi").join(broadcast_if_small(values.join(hot, on, "left_semi")), on)
+    return often.unionByName(df.join(hot, on, "left_anti").join(values.hint("merge"), on))
