@@ -4,22 +4,30 @@ Every distinct set of word shingles gets a fingerprint of ``segments * width``
 min-hash symbols of 16 bits.  The fingerprint is cut into segments; the Hamming
 ball of radius one around a segment is entered into a table by blanking each of
 its symbols in turn, so that two segments at distance zero or one meet under at
-least one key.  Matches fetched from the table are checked on the complete
-fingerprint and then on the exact sets.
+least one key.  Where two records meet, their complete fingerprints are compared
+before a row is made of it: each symbol gives one bit, and the 128-bit code is
+carried beside the key.  What is left is verified on the exact sets.
 
-At the default of 20 segments of 6 symbols, a pair whose sets have a Jaccard
-similarity of 0.60 meets with probability 0.995, of 0.65 with 0.9995 and of
-0.70 with 0.99998.
+``layout`` takes width and segments from the number of records and the
+threshold: a tenfold number lengthens the keys by a symbol, so that chance
+meetings of one record stay about as many, and the segments are as many as a
+pair at the threshold needs to meet with probability ``RECALL``.  Up to a million records and at
+0.6 these are 20 segments of 6 symbols: a pair at 0.60 meets with probability
+0.995, at 0.65 with 0.9995 and at 0.70 with 0.99998.
+
+Sizes of exploded tables cannot be seen by the planner, so every join here asks
+for a sort-merge join; AQE splits its skewed partitions.
 
 Defined results: null texts take no part; equal texts always form a pair, even
 those with fewer words than a shingle; repeated rows count once; an empty table
-gives no rows.  Records with equal sets are one class and only its
-representative enters the search, so a group of copies costs one fingerprint
-however large it is.
+gives no rows.  Records with equal sets are one class (a 128-bit digest) and
+only its representative enters the search, so a group of copies costs one
+fingerprint however large it is.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,12 +37,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, checkpoint
+from ..session import broadcast_if_small, checkpoint, hot_keys, lookup
 
 WORDS = re.compile(r"[^\W_]+")
-SEGMENTS, WIDTH = 20, 6
-#: Share of equal fingerprint symbols below which a pair is dropped: at 120 symbols, more than four standard deviations under 0.6.
-LEEWAY = 0.18
+#: Probability with which a pair at the threshold is to meet, and the records beyond which keys grow.
+RECALL, RECORDS = 0.995, 1_000_000
+WIDTH = 6
+#: Standard deviations by which the complete fingerprints of a pair may differ more than expected at the threshold.
+LEEWAY = 3.5
 _BLOCK = 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,29 +92,50 @@ def _multipliers(count: int) -> np.ndarray:
         return _mixed(np.arange(1, count + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
 
 
-def fingerprints(docs: DataFrame, size: int, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
-    """(doc, set_key, n, fp) for each row of (doc, text)."""
+def layout(records: int, threshold: float) -> tuple[int, int]:
+    """(segments, width) of the fingerprint: longer keys for more records, as many segments as the recall asks for."""
+    width = WIDTH + max(0, math.ceil(math.log10(max(records, 1) / RECORDS)))
+    meets = threshold**width + width * threshold ** (width - 1) * (1 - threshold)
+    return (math.ceil(math.log(1 - RECALL) / math.log(1 - meets)) if meets < 1 else 1), width
+
+
+def code_distance(symbols: int, threshold: float) -> int:
+    """Greatest number of differing bits of the codes of a pair at the threshold: expected number and ``LEEWAY`` deviations."""
+    differ, bits = (1 - threshold) / 2, min(symbols, 128)
+    return math.floor(bits * differ + LEEWAY * math.sqrt(bits * differ * (1 - differ)))
+
+
+def code(prints: bytes) -> tuple[int, int]:
+    """One bit of each symbol (of the first 128), as two signed 64-bit numbers."""
+    bits = np.zeros(128, np.uint8)
+    symbols = np.frombuffer(prints, "<u2")[:128]
+    bits[: len(symbols)] = symbols & 1
+    one, two = np.packbits(bits).view(">i8")
+    return int(one), int(two)
+
+
+def _set_key(shingles: np.ndarray, text: str) -> bytes:
+    """128-bit digest of the set; of the text itself where it is shorter than a shingle."""
+    return b"s" + xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else b"t" + xxhash.xxh3_128_digest(text)
+
+
+def fingerprints(docs: DataFrame, size: int, segments: int, width: int) -> DataFrame:
+    """(doc, set_key, n, fp, c1, c2) for each row of (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, multipliers = _Words(), _multipliers(segments * width)
         with np.errstate(over="ignore"):
             for batch in batches:
-                keys, counts, prints = [], [], []
+                rows = []
                 for text in batch.column(1).to_pylist():
                     shingles = shingle_set(text, size, words)
-                    counts.append(len(shingles))
-                    if len(shingles):
-                        keys.append(b"s" + xxhash.xxh3_128_digest(shingles.tobytes()))
-                        prints.append(fingerprint(shingles, multipliers))
-                    else:
-                        keys.append(b"t" + xxhash.xxh3_128_digest(text))
-                        prints.append(None)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(prints, pa.binary())],
-                    names=["doc", "set_key", "n", "fp"],
-                )
+                    prints = fingerprint(shingles, multipliers) if len(shingles) else None
+                    rows.append((_set_key(shingles, text), len(shingles), prints, *(code(prints) if prints else (None, None))))
+                types = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+                columns = zip(*rows, strict=True) if rows else [[] for _ in types]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc", "set_key", "n", "fp", "c1", "c2"])
 
-    return docs.select("doc", "text").where("text IS NOT NULL AND doc IS NOT NULL").mapInArrow(run, "doc string, set_key binary, n int, fp binary")
+    return docs.select("doc", "text").where("text IS NOT NULL AND doc IS NOT NULL").mapInArrow(run, "doc string, set_key binary, n int, fp binary, c1 long, c2 long")
 
 
 def _ball(segment: Column, width: int, number: Column) -> Column:
@@ -117,48 +148,36 @@ def _ball(segment: Column, width: int, number: Column) -> Column:
     return F.array(*keys)
 
 
-def candidates(reps: DataFrame, threshold: float, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
-    """(a, b) with a < b: distinct pairs of representatives that meet in the table."""
+def candidates(reps: DataFrame, threshold: float, segments: int, width: int) -> DataFrame:
+    """(a, b) with a < b: distinct pairs of representatives that meet in the table and whose complete fingerprints are near enough."""
     number = F.col("segment")
     table = (
-        reps.select("rid", "n", "fp", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"))
-        .select("rid", "n", F.explode(_ball(F.col("fp").substr(number * (2 * width) + 1, F.lit(2 * width)), width, number)).alias("key"))
-        .select("key", "rid", "n")
+        reps.select("rid", "n", "c1", "c2", "fp", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"))
+        .select("rid", "n", "c1", "c2", F.explode(_ball(F.col("fp").substr(number * (2 * width) + 1, F.lit(2 * width)), width, number)).alias("key"))
+        .select("key", "rid", "n", "c1", "c2")
     )
-    left, right = table.alias("l"), table.alias("r")
+    left, right = table.alias("l"), table.hint("merge").alias("r")
     fits = (F.col("l.n") >= F.col("r.n") * threshold) & (F.col("r.n") >= F.col("l.n") * threshold)
-    return (
-        left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.rid") < F.col("r.rid")) & fits)
-        .select(F.col("l.rid").alias("a"), F.col("r.rid").alias("b"))
-        .distinct()
-    )
-
-
-def _close(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose complete fingerprints fp_a and fp_b agree in at least that share of symbols."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("fp_a", "fp_b"))
-            kept = pa.array((one == two).mean(axis=1) >= least)
-            yield batch.select(["a", "b"]).filter(kept)
-
-    return pairs.mapInArrow(run, "a long, b long")
+    apart = F.bit_count(F.col("l.c1").bitwiseXOR(F.col("r.c1"))) + F.bit_count(F.col("l.c2").bitwiseXOR(F.col("r.c2")))
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.rid") < F.col("r.rid")) & fits & (apart <= code_distance(segments * width, threshold))
+    return left.join(right, met).select(F.col("l.rid").alias("a"), F.col("r.rid").alias("b")).distinct()
 
 
 def _shingles(docs: DataFrame, size: int) -> DataFrame:
-    """(rid, shingles) of (rid, text)."""
+    """(rid, shingles) of (rid, set_key, text); a row whose text has another set than its class is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         with np.errstate(over="ignore"):
             for batch in batches:
-                sets = [shingle_set(t, size, words).tobytes() for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rid", "shingles"])
+                kept = []
+                for rid, key, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                    shingles = shingle_set(text, size, words)
+                    if _set_key(shingles, text) == key:
+                        kept.append((rid, shingles.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.binary())], names=["rid", "shingles"])
 
-    return docs.mapInArrow(run, "rid long, shingles binary")
+    return docs.mapInArrow(run, "rid long, shingles binary").dropDuplicates(["rid"])
 
 
 def _exact(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -177,40 +196,47 @@ def _exact(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, similarity double")
 
 
-def similar_sets(docs: DataFrame, threshold: float, size: int, segments: int = SEGMENTS, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, threshold: float, size: int) -> tuple[DataFrame, DataFrame]:
     """Members (doc, rid) and verified links (a, b, similarity) between the classes of equal sets."""
+    segments, width = layout(docs.count(), threshold)
     prints = checkpoint(fingerprints(docs, size, segments, width))
-    members = prints.select("doc", F.xxhash64("set_key").alias("rid")).distinct()
-    reps = prints.groupBy(F.xxhash64("set_key").alias("rid")).agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("fp").alias("fp")).where("fp IS NOT NULL")
-    found = candidates(reps, threshold, segments, width)
-    one, two = reps.select(F.col("rid").alias("a"), F.col("fp").alias("fp_a")), reps.select(F.col("rid").alias("b"), F.col("fp").alias("fp_b"))
-    near = checkpoint(_close(found.join(one, "a").join(two, "b"), threshold - LEEWAY))
-    wanted = broadcast_if_small(near.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(reps.select("rid", "doc"), "rid"))
-    texts = docs.select("doc", "text").where("text IS NOT NULL").join(wanted, "doc").select("rid", "text").dropDuplicates(["rid"])
+    classes = prints.groupBy("set_key").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("n", "fp", "c1", "c2")))
+    reps = checkpoint(classes.withColumn("rid", F.monotonically_increasing_id()))
+    members = prints.select("doc", "set_key").distinct().join(reps.select("set_key", "rid").hint("merge"), "set_key").select("doc", "rid")
+    near = checkpoint(candidates(reps.where("fp IS NOT NULL"), threshold, segments, width))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(reps.select("rid", "set_key", "doc").hint("merge"), "rid")
+    texts = docs.select("doc", "text").where("text IS NOT NULL").join(broadcast_if_small(wanted), "doc").select("rid", "set_key", "text")
     sets = _shingles(texts, size)
-    pairs = near.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return members, checkpoint(_exact(pairs, threshold))
+    one, two = (sets.select(F.col("rid").alias(k), F.col("shingles").alias(f"set_{k}")).hint("merge") for k in "ab")
+    return members, checkpoint(_exact(near.join(one, "a").join(two, "b"), threshold))
 
 
-def similar_pairs(docs: DataFrame, threshold: float, size: int, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
+def similar_pairs(docs: DataFrame, threshold: float, size: int) -> DataFrame:
     """(doc_a, doc_b) with doc_a < doc_b: all pairs of documents at or above the threshold, copies expanded."""
-    members, links = similar_sets(docs, threshold, size, segments, width)
+    members, links = similar_sets(docs, threshold, size)
     one, two = members.select(F.col("doc").alias("x"), F.col("rid").alias("a")), members.select(F.col("doc").alias("y"), F.col("rid").alias("b"))
-    across = links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
-    within = one.join(two, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"))
+    across = links.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+    within = one.join(two.hint("merge"), (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"))
     return across.unionByName(within)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): connected components of (a, b), by alternating large and small stars on min labels; each round is checkpointed."""
+    """(node, root): connected components of (a, b), by label hooking with pointer jumping; each round is checkpointed.
+
+    Each node takes the least label of its neighbours, then its label's label.
+    A root that many nodes share is looked up by broadcast (``session.lookup``),
+    so a giant component does not meet in one task.
+    """
     edges = checkpoint(links.select("a", "b").where("a <> b").distinct())
-    labels = checkpoint(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
     both = edges.union(edges.select("b", "a")).toDF("node", "other")
+    hot = hot_keys(both, "other")
+    labels = checkpoint(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("least"))
-        hooked = labels.join(near, "node").select("node", F.least("root", "least").alias("root"), (F.col("least") < F.col("root")).alias("moved"))
-        jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        now = checkpoint(hooked.join(jump, "root").select("node", F.least("root", "up").alias("root"), (F.col("moved") | (F.col("up") < F.col("root"))).alias("moved")))
+        near = lookup(both, labels.toDF("other", "least"), "other", hot).groupBy("node").agg(F.min("least").alias("least"))
+        hooked = labels.join(near.hint("merge"), "node").select("node", F.least("root", "least").alias("root"), (F.col("least") < F.col("root")).alias("moved"))
+        hooked = checkpoint(hooked)
+        jumped = lookup(hooked, hooked.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", hot_keys(hooked, "root"))
+        now = checkpoint(jumped.select("node", F.least("root", "up").alias("root"), (F.col("moved") | (F.col("up") < F.col("root"))).alias("moved")))
         labels = now.select("node", "root")
         if now.where("moved").isEmpty():
             return labels
@@ -222,7 +248,7 @@ def duplicate_groups(docs: DataFrame, threshold: float, size: int) -> DataFrame:
     degree = links.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count("*").alias("n_links"))
     roots = components(links).withColumnsRenamed({"node": "rid", "root": "group_id"})
     return (
-        members.join(degree, "rid", "left")
-        .join(roots, "rid", "left")
+        members.join(degree.hint("merge"), "rid", "left")
+        .join(roots.hint("merge"), "rid", "left")
         .select("doc", F.col("rid").alias("class_id"), F.coalesce("group_id", "rid").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )

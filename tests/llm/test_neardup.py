@@ -85,3 +85,29 @@ def test_components_of_a_long_chain(spark):
     roots = {r.node: r.root for r in N.components(links).collect()}
     assert {roots[k] for k in range(41)} == {0} and roots[101] == 100
     assert N.components(links.limit(0)).count() == 0
+
+
+def test_layout_keeps_recall_and_lengthens_keys_with_the_records():
+    assert N.layout(1000, 0.6) == N.layout(1_000_000, 0.6) == (20, 6)
+    for records in (1, 10**6, 10**7, 10**9, 10**12):
+        for threshold in (0.6, 0.8, 1.0):
+            segments, width = N.layout(records, threshold)
+            meets = threshold**width + width * threshold ** (width - 1) * (1 - threshold)
+            assert 1 - (1 - meets) ** segments >= N.RECALL and width == 6 + max(0, len(str(records)) - 7)
+
+
+def test_joins_are_never_broadcast_by_estimate(spark):
+    docs = corpus(5, 10, 3)
+    df = spark.createDataFrame(list(docs.items()), "doc string, text string")
+    prints = N.fingerprints(df, 3, 20, 6).withColumn("rid", N.F.monotonically_increasing_id())
+    plan = N.candidates(prints, 0.6, 20, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_a_star_with_a_hot_centre(spark, monkeypatch):
+    from parchemin import session
+
+    monkeypatch.setattr(session.hot_keys, "__defaults__", (20,))
+    links = spark.createDataFrame([(7, k) for k in range(100, 200)] + [(k, k + 1) for k in range(300, 340)], "a long, b long")
+    roots = {r.node: r.root for r in N.components(links).collect()}
+    assert {roots[k] for k in range(100, 200)} == {7} and {roots[k] for k in range(300, 341)} == {300}
