@@ -1,15 +1,19 @@
 """Broken prompt and response pairs (problem 3).
 
-Openings of all responses are clustered by verified MinHash: distinct openings
-get band keys, each bucket compares its members with one representative, and
-connected components of the verified links are the clusters.  A cluster that
-recurs across prompts and after whose opening nothing but courtesy follows is
-a refusal template if most of its members speak of not answering, or, whatever
-its words, if it says the same to prompts that have no subject in common: it
-takes up little of them and gives no number or name of its own.  Members of a
-template are refusals, and so is a response outside any template that only
-speaks of not answering.  Copy, language and termination checks label the
-remaining defects.
+An answer is cut into clauses at its marks.  A clause that recurs on many
+prompts is stock (a courtesy, an advice to try again).  A response stands alone
+if next to nothing follows its first clause that is not stock; its opening is
+then its longest clause.  The openings of such responses are
+clustered by verified MinHash: distinct openings get band keys, each bucket
+compares its members with one representative, those that fail with the next
+one, until none is left; connected components of the verified links are the
+clusters.  A cluster is a refusal template by its use, whatever its words: it
+recurs across prompts that have no subject in common, its members share most
+of their words, take up little of the prompts and give no number or name of
+their own.  Members of a template are refusals.  So is a response outside any
+template that speaks of not answering in words of a fixed list, because a
+refusal is a defect however rare it is; ``told_by`` says which way it was found.
+Copy, language and termination checks label the remaining defects.
 
 A response has the first defect that holds of: empty, copy, refusal,
 other_language, truncated.  Defined results: responses to null questions are
@@ -30,16 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import broadcast_if_small, checkpoint
 from .neardup import _mixed, _multipliers, components
 from .unify import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS
 
-BANDS, ROWS, ALIKE = 12, 3, 0.6
-#: A template recurs across at least so many unrelated prompts; at most so many words of its own may follow it.
-PROMPTS, REST = 3, 3
-OPENING_WORDS = 25
-#: Of a template told by its use alone: least words (a shorter one may be a short answer), greatest share of its words that the prompts hold, least share of prompts that makes a word their common subject.
-SAID, TAKEN_UP, COMMON = 5, 0.34, 0.5
+BANDS, ROWS, ALIKE = 24, 3, 0.5
+#: A clause is stock, and a cluster recurs, if it stands on at least so many prompts and this share of all responses.
+PROMPTS, STOCK_SHARE, SHARE = 3, 3e-4, 1e-4
+#: At most so many words of its own may follow an opening.
+REST = 3
+#: Of a template: least words of a member (a shorter one may be a short answer), least share of them that half of the members hold, greatest share of its words that the prompts hold, least share of prompts that makes a word their common subject.
+SAID, COHESION, TAKEN_UP, COMMON = 5, 0.5, 0.34, 0.5
 
 WORD = re.compile(r"[^\W_]+")
 CITATION = re.compile(r"\[\s*\d+(?:\s*[,;-]\s*\d+)*\s*\]")
@@ -67,12 +72,15 @@ REFUSAL = re.compile(
 )
 #: An opening that answers yes or no.
 POLAR = re.compile(r"(?i)^[\W_]*(?:oui|non|si|yes|no|ja|nein|doch|sí)\s*[,.;:!–—-]")
-# Frequent words of the four languages of the corpus that the others lack.
+# Frequent words of seven languages; one that several share counts in part for each.
 LANGUAGE_WORDS = {
-    "fr": "le la les des du un une et est en pour dans sur au aux par avec sans que qui ce cette ne pas plus son sa ses leur il elle nous vous je ou où à été sont doit peut comme lors ainsi dès afin selon chez quels quelles quel quelle combien comment faut oui non jamais jours mois article l d qu s n c j y ans leurs quand lorsque puisque tant après avant sous entre",
+    "fr": "de dit fait font avant si le la les des du un une et est en pour dans sur au aux par avec sans que qui ce cette ne pas plus son sa ses leur il elle nous vous je ou où à été sont doit peut comme lors ainsi dès afin selon chez quels quelles quel quelle combien comment faut oui non jamais jours mois article l d qu s n c j y ans leurs quand lorsque puisque tant après avant sous entre",
     "en": "the of and to in is for on by with without that which this an be are must may as at from or its their when how what who why can not long yes no never days months it has have was were will should each any does do rules apply risks within under after before between whenever since although",
     "de": "der die das und ist im ein eine einen einem einer den dem des für mit ohne auf von zu zur zum nicht wie was wer darf muss kann wird werden sich als bei nach vor aus wenn dass sowie über unter zwischen ja nein nie tage tagen monate monaten obwohl damit welche wissen aufbewahren lange durch um gegen jeden jeder jede am beim vom sind hat wurde",
     "es": "el los las del una y en para con sin que por su sus al se es son debe puede como no sí más cuánto qué cuándo cuál cómo lo un de desde entre hasta según tras antes sobre nunca días meses tiempo quién cada cuando aunque porque ya muy fue está está esta este ante bajo durante",
+    "it": "il lo gli la le un una di del della dei delle degli e è in nel nella per con su sul sulla da dal dalla che non si sono come più anche questo questa quando quanto quali chi cosa deve può essere ha hanno suo sua loro prima dopo entro senza tra ogni giorni mesi ma perché ai alle al alla",
+    "pt": "o os a as um uma do da dos das de e é em no na nos nas para por com sem que não se são como mais também este esta quando quanto quais quem deve pode ser tem seu sua pelo pela antes após sobre entre cada dias meses mas porque ao aos à às foi",
+    "nl": "de het een en van in is op te met voor niet dat die zijn aan bij door om naar uit als ook maar worden wordt deze dit hoe wat wie moet kan mag welke tussen na voordat zonder elke dagen maanden heeft hebben wel geen nog",
 }
 WEIGHTS: dict[str, dict[str, float]] = {}
 for _language, _words in LANGUAGE_WORDS.items():
@@ -97,21 +105,31 @@ def plain(text: str) -> str:
     return "\n".join(" ".join(line.split()) for line in text.split("\n")).strip()
 
 
-def language(text: str) -> tuple[str | None, float]:
-    """The likeliest language and its lead over the next as a share of the words; None where nothing tells."""
-    words = WORD.findall(text.lower())
+def _language_scores(text: str) -> tuple[Counter[str], int]:
+    """Score of each language, and the number of words."""
+    lower = text.lower()
+    words = WORD.findall(lower)
     score: Counter[str] = Counter()
     for word in filter(WEIGHTS.__contains__, words):
         for name, share in WEIGHTS[word].items():
             score[name] += share
-    lower = text.lower()
     score["de"] += 0.5 * len(re.findall(r"ß|\b\w*(?:ung|keit|heit|schutz)\b", lower))
     score["es"] += 1.0 * len(re.findall(r"[¿¡ñ]|\w+(?:ción|dad)\b", lower))
-    ranked = score.most_common(2)
-    if not ranked or ranked[0][1] <= 0:
-        return None, 0.0
-    lead = ranked[0][1] - (ranked[1][1] if len(ranked) > 1 else 0)
-    return ranked[0][0], lead / max(1, len(words))
+    return score, max(1, len(words))
+
+
+def language(text: str) -> tuple[str | None, float]:
+    """The likeliest language and its lead over the next as a share of the words; None where nothing tells."""
+    score, words = _language_scores(text)
+    ranked = [*score.most_common(2), ("", 0.0)]
+    return (ranked[0][0], (ranked[0][1] - ranked[1][1]) / words) if ranked[0][1] > 0 else (None, 0.0)
+
+
+def likely_languages(text: str) -> set[str]:
+    """The languages that come near the likeliest one; none where nothing tells."""
+    score, words = _language_scores(text)
+    best = max(score.values(), default=0.0)
+    return {name for name, x in score.items() if best > 0 and x >= best - 0.03 * words}
 
 
 def is_empty(answer: str) -> bool:
@@ -167,25 +185,25 @@ def sentences(answer: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?])\s+|\n+", CITATION.sub("", answer)) if any(c.isalnum() for c in s)]
 
 
-def refusal_parts(answer: str) -> tuple[str, int, bool]:
-    """The opening (courtesies before the first telling sentence left out), the words that follow it beside courtesies, and whether it speaks of not answering.
-
-    Words are counted only up to the first that are too many for a refusal.
-    """
-    opening, telling, rest, courteous = "", False, 0, ""
+def speaks_of_refusal(answer: str) -> bool:
+    """Whether an answer speaks of not answering and, courtesies aside, says next to nothing else: before it in other sentences, or after it in any clause."""
+    telling, rest = False, 0
     for sentence in sentences(answer):
-        speaks = bool(REFUSAL.search(sentence))
-        polite = not speaks and bool(COURTESY.search(sentence))
-        if opening and not speaks and not polite:
-            rest += len(WORD.findall(sentence))
-            if rest > REST:
-                break
-        elif not opening and not polite:
-            opening, telling = sentence, speaks
-        elif not opening and not courteous:
-            courteous = sentence
-    said = WORD.findall(opening or courteous)
-    return " ".join(said[:OPENING_WORDS]), rest + max(0, len(said) - OPENING_WORDS), telling
+        speaks = REFUSAL.search(sentence)
+        if not speaks and COURTESY.search(sentence):
+            continue
+        after = re.split(r"[,;:()]+", sentence[speaks.end() :])[1:] if speaks else [sentence]
+        rest += sum(len(WORD.findall(c)) for c in after if not COURTESY.search(c))
+        if rest > REST:
+            return False
+        telling = telling or bool(speaks)
+    return telling
+
+
+def clauses(answer: str) -> list[str]:
+    """The clauses of an answer, as their words in order."""
+    found = (" ".join(WORD.findall(c)) for c in re.split(r"[.,;:!?()\n–—]+", CITATION.sub("", answer)))
+    return [c for c in found if c]
 
 
 def opening_key(opening: str) -> str:
@@ -199,16 +217,16 @@ def subjects(asked: str) -> list[str]:
     return sorted({w for w in WORD.findall(asked.lower()) if w not in WEIGHTS})
 
 
-def own_values(asked: str, opening: str) -> list[str]:
-    """Numbers and names of an opening that its prompt lacks."""
-    known = set(WORD.findall(asked.lower()))
+def own_values(asked: list[str], opening: str) -> list[str]:
+    """Numbers and names of an opening that its prompt, given by its subjects, lacks."""
+    known = set(asked)
     return sorted({w.lower() for k, w in enumerate(opening.split()) if (any(c.isdigit() for c in w) or (k and w[0].isupper())) and w.lower() not in known})
 
 
-def taken_up(asked: str, opening: str) -> float:
-    """Share of the words of an opening, frequent ones aside, that are in its prompt."""
+def taken_up(asked: list[str], opening: str) -> float:
+    """Share of the words of an opening, frequent ones aside, that are among the subjects of its prompt."""
     said = subjects(opening)
-    return len(set(said) & set(subjects(asked))) / len(said) if said else 0.0
+    return len(set(said) & set(asked)) / len(said) if said else 0.0
 
 
 def _shingles(key: str) -> np.ndarray:
@@ -217,38 +235,35 @@ def _shingles(key: str) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(g) for g in grams], np.uint64))
 
 
-ASSESSED = "query_id string, defect string, opening string, opening_id long, prompt_id long, rest int, telling boolean, said int, taken_up double, values array<string>, subjects array<string>"
+ASSESSED = "query_id string, defect string, prompt_id long, telling boolean, polar boolean, subjects array<string>, clauses array<string>"
 
 
-def assess(responses: DataFrame) -> DataFrame:
-    """Each response once with the checks that need nothing but itself, and its opening; the last four columns only of responses that end with it."""
+def _signed(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
-    def signed(text: str) -> int:
-        return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+def assess(responses: DataFrame) -> DataFrame:
+    """Each response once with the checks that need nothing but itself, and its clauses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for query, question, answer in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 asked, said = plain(question), plain(answer or "")
-                defect, opening, rest, telling, use = None, "", 0, False, (0, 0.0, [], [])
+                defect, telling, parts = None, False, []
                 if is_empty(said):
                     defect = "empty"
                 elif is_copy(asked, said):
                     defect = "copy"
                 else:
-                    opening, rest, telling = refusal_parts(said)
-                    if rest <= REST and not POLAR.match(said):
-                        use = len(opening.split()), taken_up(asked, opening), own_values(asked, opening), subjects(asked)
-                    opening = opening_key(opening)
-                    one, _ = language(asked)
-                    two, lead = language(said)
-                    if one and two and one != two and lead >= 0.08:
+                    telling, parts = speaks_of_refusal(said), clauses(said)
+                    (said_in, lead), asked_in = language(said), likely_languages(asked)
+                    if said_in and asked_in and said_in not in asked_in and lead >= 0.08:
                         defect = "other_language"
                     elif is_truncated(said):
                         defect = "truncated"
-                rows.append((query, defect, opening, signed(opening), signed(" ".join(WORD.findall(asked.lower()))), rest, telling, *use))
-            types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
+                rows.append((query, defect, _signed(" ".join(WORD.findall(asked.lower()))), telling, bool(POLAR.match(said)), subjects(asked), parts))
+            types = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string())]
             columns = zip(*rows, strict=True) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in ASSESSED.split(", ")])
 
@@ -256,6 +271,47 @@ def assess(responses: DataFrame) -> DataFrame:
     return asked.dropDuplicates(["query_id"]).mapInArrow(run, ASSESSED)
 
 
+def standing_alone(assessed: DataFrame) -> DataFrame:
+    """(query_id, prompt_id, subjects, opening, said) of the responses whose first clause of their own is followed by stock only.
+
+    ``opening`` is the longest clause (the first of tied ones), left out where it is stock that mostly stands in other answers; ``said`` counts the words of the response.
+    """
+    own = assessed.where("clauses IS NOT NULL AND size(clauses) > 0 AND NOT polar")
+    parts = own.select("query_id", "prompt_id", F.posexplode("clauses").alias("pos", "clause")).withColumn("h", F.xxhash64(F.regexp_replace(F.lower("clause"), "\\p{Nd}+", "0"))).withColumn("w", F.size(F.split("clause", " ")))
+    total = F.broadcast(assessed.agg(F.count("*").alias("total")))
+    on_prompts = parts.select("h", "prompt_id").distinct().groupBy("h").agg(F.count("*").alias("n"))
+    # A stock clause holds a fixed share of the responses, so their number is bounded whatever the size of the table.
+    stock = broadcast_if_small(on_prompts.join(total).where((F.col("n") >= PROMPTS) & (F.col("n") >= F.col("total") * F.lit(STOCK_SHARE))).select("h", "n"))
+    free = F.col("n").isNull()
+    marked = parts.join(stock, "h", "left")
+    told = marked.groupBy("query_id").agg(
+        F.min(F.when(free, F.struct("pos", "w"))).alias("first"), F.max(F.struct("w", -F.col("pos"), "clause", F.when(~free, F.col("h")).alias("h"))).alias("longest"), F.sum("w").alias("said"), F.coalesce(F.sum(F.when(free, F.col("w"))), F.lit(0)).alias("free")
+    )
+    alone = checkpoint(told.where(F.col("free") - F.coalesce("first.w", F.lit(0)) <= REST).select("query_id", F.col("longest.clause").alias("opening"), "longest.h", F.col("said").cast("int").alias("said")))
+    # Stock that mostly stands in other answers is an addition to them and no opening.
+    kept = marked.where(~free).join(alone.select("query_id").hint("merge"), "query_id", "left_semi").select("h", "n", "prompt_id").distinct().groupBy("h", "n").agg(F.count("*").alias("k"))
+    added = alone.where("h IS NOT NULL").join(broadcast_if_small(kept.where("k * 2 >= n").select("h")), "h", "left_anti").select("query_id")
+    return own.select("query_id", "prompt_id", "subjects").join(alone.hint("merge"), "query_id").join(added.hint("merge"), "query_id", "left_anti").drop("h")
+
+
+def _described(alone: DataFrame) -> DataFrame:
+    """The rows of ``standing_alone`` with the key, words and values of their openings and the share of their words that the prompt holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for asked, opening in zip(batch.column("subjects").to_pylist(), batch.column("opening").to_pylist(), strict=True):
+                key = opening_key(opening)
+                rows.append((_signed(key), key, sorted(set(key.split())), taken_up(asked, opening), own_values(asked, opening)))
+            types = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.list_(pa.string())]
+            columns = zip(*rows, strict=True) if rows else [[] for _ in types]
+            names = ["opening_id", "opening", "words", "taken_up", "values"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query_id", "prompt_id", "said", "subjects")), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["query_id", "prompt_id", "said", "subjects", *names])
+
+    kept = alone.select("query_id", "prompt_id", "said", "subjects", "opening")
+    return kept.mapInArrow(run, "query_id string, prompt_id long, said int, subjects array<string>, opening_id long, opening string, words array<string>, taken_up double, values array<string>")
+
+
 def _bands(openings: DataFrame) -> DataFrame:
     """(opening_id, opening, band): band keys of each distinct opening."""
 
@@ -287,47 +343,57 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def opening_clusters(assessed: DataFrame) -> DataFrame:
-    """(opening_id, cluster) of the distinct openings; one that is alike to none is its own cluster and left out."""
-    openings = assessed.where("opening <> ''").groupBy("opening_id").agg(F.first("opening").alias("opening"))
-    bands = checkpoint(_bands(openings))
-    # Each bucket has one representative, so a bucket of any size is compared in as many steps as it has members.
-    heads = bands.groupBy("band").agg(F.min("opening_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
-    pairs = bands.join(heads, "band").where("opening_id <> b").select(F.col("opening_id").alias("a"), "opening", "b").distinct()
+def opening_clusters(described: DataFrame) -> DataFrame:
+    """(opening_id, cluster) of the distinct openings; one that is alike to none is its own cluster and left out.
+
+    Each bucket compares its members with its least one; those that are not
+    alike to it form the bucket anew, until none is left.  So a bucket of any
+    size is compared in steps of as many rows as it has members.
+    """
+    openings = checkpoint(described.groupBy("opening_id").agg(F.first("opening").alias("opening")))
     other = openings.select(F.col("opening_id").alias("b"), F.col("opening").alias("other"))
-    return components(_verified(pairs.join(other, "b"))).toDF("opening_id", "cluster")
+    left, links = checkpoint(_bands(openings)), None
+    while True:
+        heads = left.groupBy("band").agg(F.min("opening_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
+        met = checkpoint(left.join(heads.hint("merge"), "band").where("opening_id <> b").select("band", F.col("opening_id").alias("a"), "opening", "b"))
+        if met.isEmpty():
+            return components(links if links is not None else met.select("a", "b")).toDF("opening_id", "cluster")
+        alike = checkpoint(_verified(met.select("a", "opening", "b").distinct().join(other.hint("merge"), "b")))
+        links = alike if links is None else links.unionByName(alike)
+        left = checkpoint(met.join(alike.hint("merge"), ["a", "b"], "left_anti").select(F.col("a").alias("opening_id"), "opening", "band"))
 
 
-def _told_by_use(placed: DataFrame, found: DataFrame) -> DataFrame:
-    """(cluster) of the recurring clusters ``found`` (cluster, prompts, n) that say the same, without values of their own, to prompts of no common subject."""
-    rows = placed.join(found, "cluster")
-    common = lambda column: rows.select("cluster", "prompts", "prompt_id", F.explode(column).alias("word")).groupBy("cluster", "prompts", "word").agg(F.countDistinct("prompt_id").alias("k"))
-    related = common("subjects").where(F.col("k") > COMMON * F.col("prompts")).select("cluster").distinct()
+def templates(assessed: DataFrame) -> DataFrame:
+    """(query_id) of the responses made of a refusal template: members of recurring clusters that say the same, without values of their own, to prompts of no common subject."""
+    described = checkpoint(_described(standing_alone(assessed)))
+    placed = described.join(opening_clusters(described).hint("merge"), "opening_id", "left").withColumn("cluster", F.coalesce("cluster", "opening_id"))
+    total = F.broadcast(assessed.agg(F.count("*").alias("total")))
+    per_prompt = placed.groupBy("cluster", "prompt_id").agg(F.count("*").alias("n"), F.count_if(F.col("taken_up") <= TAKEN_UP).alias("apart"))
+    found = per_prompt.groupBy("cluster").agg(F.count("*").alias("prompts"), F.sum("n").alias("n"), F.sum("apart").alias("apart"))
+    recurring = checkpoint(found.join(total).where((F.col("prompts") >= PROMPTS) & (F.col("prompts") >= F.col("total") * F.lit(SHARE)) & (F.col("apart") * 2 >= F.col("n"))).select("cluster", "prompts", "n"))
+    rows = checkpoint(placed.join(recurring.hint("merge"), "cluster"))
+    held = lambda column, by: rows.select("cluster", "prompts", "n", by, F.explode(column).alias("word")).groupBy("cluster", "prompts", "n", "word").agg(F.countDistinct(by).alias("k"))
+    related = held("subjects", "prompt_id").where(F.col("k") > COMMON * F.col("prompts")).select("cluster").distinct()
     # A number or name that half of the prompts get belongs to the template, e.g. a noun in German.
-    fixed = common("values").where(F.col("k") * 2 >= F.col("prompts")).select("cluster", "word")
-    own = rows.select("cluster", "n", "query_id", F.explode("values").alias("word")).join(fixed, ["cluster", "word"], "left_anti")
+    fixed = held("values", "prompt_id").where(F.col("k") * 2 >= F.col("prompts")).select("cluster", "word")
+    own = rows.select("cluster", "n", "query_id", F.explode("values").alias("word")).join(fixed.hint("merge"), ["cluster", "word"], "left_anti")
     valued = own.groupBy("cluster", "n").agg(F.countDistinct("query_id").alias("k")).where("k * 2 >= n").select("cluster")
-    return found.select("cluster").join(related, "cluster", "left_anti").join(valued, "cluster", "left_anti")
+    shared = held("words", "query_id").where(F.col("k") * 2 >= F.col("n")).groupBy("cluster").agg(F.collect_set("word").alias("shared"))
+    members = rows.join(shared.hint("merge"), "cluster").withColumn("common", F.size(F.array_intersect("words", "shared")) / F.size("words"))
+    loose = members.groupBy("cluster").agg(F.avg("common").alias("cohesion")).where(F.col("cohesion") >= COHESION).select("cluster")
+    kept = loose.join(related.hint("merge"), "cluster", "left_anti").join(valued.hint("merge"), "cluster", "left_anti")
+    return rows.where(F.col("said") >= SAID).join(kept.hint("merge"), "cluster", "left_semi").select("query_id").distinct()
 
 
-def templates(assessed: DataFrame) -> DataFrame:
-    """(opening_id) of the refusal templates: clusters that recur and stand alone in their answers, and that mostly speak of not answering or are told by their use."""
-    placed = assessed.where("opening <> ''").join(opening_clusters(assessed), "opening_id", "left").withColumn("cluster", F.coalesce("cluster", "opening_id"))
-    stats = placed.groupBy("cluster", "prompt_id").agg(
-        F.count("*").alias("n"), F.count_if("telling").alias("telling"), F.count_if(F.col("rest") <= REST).alias("alone"), F.count_if((F.col("said") >= SAID) & (F.col("taken_up") <= TAKEN_UP)).alias("apart")
-    )
-    found = stats.groupBy("cluster").agg(F.count("*").alias("prompts"), *(F.sum(c).alias(c) for c in ("n", "telling", "alone", "apart")))
-    recurring = checkpoint(found.where((F.col("prompts") >= PROMPTS) & (F.col("alone") * 2 >= F.col("n"))))
-    told = recurring.where(F.col("telling") * 2 >= F.col("n")).select("cluster")
-    by_use = _told_by_use(placed, recurring.where((F.col("telling") * 2 < F.col("n")) & (F.col("apart") * 2 >= F.col("n"))).select("cluster", "prompts", "n"))
-    return placed.join(told.unionByName(by_use), "cluster", "left_semi").select("opening_id").distinct()
+def assessed_defects(responses: DataFrame) -> DataFrame:
+    """(query_id, defect_type, told_by): one row for each defective response; ``told_by`` is template, list or check."""
+    assessed = checkpoint(assess(responses))
+    known = templates(assessed).withColumn("template", F.lit(True))
+    told = F.when(F.col("defect").isin("empty", "copy"), "check").when(F.col("template"), "template").when(F.col("telling"), "list").when(F.col("defect").isNotNull(), "check")
+    kind = F.when(told == "check", F.col("defect")).when(told.isNotNull(), "refusal")
+    return assessed.join(known.hint("merge"), "query_id", "left").select("query_id", kind.alias("defect_type"), told.alias("told_by")).where("defect_type IS NOT NULL")
 
 
 def defects(responses: DataFrame) -> DataFrame:
     """(query_id, defect_type): one row for each defective response."""
-    assessed = checkpoint(assess(responses))
-    known = templates(assessed).withColumn("template", F.lit(True))
-    alone = F.col("rest") <= REST
-    refusal = alone & (F.coalesce("template", F.lit(False)) | F.col("telling"))
-    kind = F.when(F.col("defect").isin("empty", "copy"), F.col("defect")).when(refusal, "refusal").otherwise(F.col("defect"))
-    return assessed.join(known, "opening_id", "left").select("query_id", kind.alias("defect_type")).where("defect_type IS NOT NULL")
+    return assessed_defects(responses).select("query_id", "defect_type")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from parchemin.llm import pairs as P
@@ -41,7 +43,10 @@ def test_complete(end):
 
 def test_languages():
     texts = {"fr": SOUND, "en": "The clinic must keep the connection logs within a reasonable time.", "de": "Die Klinik muss die Daten für jeden Zweck aufbewahren.", "es": "La clínica debe conservar los registros en un plazo razonable."}
+    texts |= {"it": "La clinica deve conservare i registri di connessione per sei mesi, come ha confermato il controllo.", "pt": "A clínica deve conservar os registos de ligação durante seis meses, como o controlo confirmou.", "nl": "De kliniek moet de gegevens zes maanden bewaren, zoals de controle heeft bevestigd."}
     assert {k: P.language(t)[0] for k, t in texts.items()} == {k: k for k in texts}
+    for asked in ("Combien de temps garder la politique de mots de passe ?", "Durée conservation la politique de mots de passe Tafennos", "Durée conservation les relevés de badge Tisqui"):
+        assert P.language(asked)[0] == "fr"
     assert P.language("12 [3]")[0] is None
 
 
@@ -66,7 +71,7 @@ UNRELATED = ["Quel budget prévoir pour un audit ?", "Qui nomme le délégué ?"
 def test_templates_outside_the_word_list(spark):
     """A wording that the list lacks is told by its use; recurring short, yes-or-no, valued and topical answers are not."""
     listed = ["Le sujet reste entièrement ouvert de mon côté.", "Le sujet reste entièrement ouvert de mon côté. Réessayez plus tard."]
-    assert not any(P.refusal_parts(a)[2] for a in listed)
+    assert not any(P.speaks_of_refusal(a) for a in listed)
     rows = [(f"r{k}", q, listed[k % 2]) for k, q in enumerate(UNRELATED)]
     rows += [(f"g{k}", q, "Zu diesem Thema schweigt meine Sammlung leider völlig.") for k, q in enumerate(["Wer ernennt den Beauftragten?", "Welche Kosten hat eine Prüfung?", "Sind Ausweise Pflicht?"])]
     rows += [(f"s{k}", q, "Cela dépend vraiment.") for k, q in enumerate(UNRELATED)] + [(f"p{k}", q, "Non, jamais sans un accord écrit préalable.") for k, q in enumerate(UNRELATED)]
@@ -77,10 +82,40 @@ def test_templates_outside_the_word_list(spark):
 
 
 def test_alike_openings_are_one_cluster(spark):
-    rows = [(f"r{k}", f"Question {k} ?", f"Je ne suis pas en mesure de me prononcer sur {t}.") for k, t in enumerate(["la biométrie", "les traceurs", "la paie", "le recrutement"])]
-    clusters = {r.cluster for r in P.opening_clusters(P.assess(frame(spark, rows))).collect()}
+    rows = [(f"r{k}", UNRELATED[k], f"Je ne suis pas en mesure de me prononcer sur {t}.") for k, t in enumerate(["la biométrie", "les traceurs", "la paie", "le recrutement"])]
+    clusters = {r.cluster for r in P.opening_clusters(P._described(P.standing_alone(P.assess(frame(spark, rows))))).collect()}
     assert len(clusters) == 1 and P.templates(P.assess(frame(spark, rows))).count() == 4
 
 
 def test_empty_table(spark):
     assert P.defects(frame(spark, []) if False else frame(spark, [("a", Q, SOUND)]).limit(0)).count() == 0
+
+
+def test_refusals_in_words_never_listed(spark):
+    """Held-out wordings in three languages with and without courtesies, amid answers of varied length: the templates alone find nine of ten and nothing else."""
+    rng = random.Random(5)
+    cores = ["Mon corpus reste muet à propos de {}", "Voilà une demande que j'esquive volontiers", "Le moteur a rendu une page blanche pour {}", "That falls in a blind spot of this tool", "My shelves hold not one line on {}", "Der Bestand schweigt sich über {} ganz aus"]
+    topics, heads, tails = ["la paie", "les badges", "le vote", "les contrats types"], ["", "Pardonnez-moi, ", "Eh bien, "], ["", " Tentez votre chance demain.", " Un collègue saura."]
+    names = ["Orlu", "Vesta", "Kamir", "Dolte", "Pruna", "Zefir", "Malou", "Tibor"]
+    rows, refused = [], set()
+    for k in range(150):
+        q = f"Pour {rng.choice(names)}{k}, quelle est la règle {k % 37} sur {rng.choice(['le stockage', 'les visites', 'le tri', 'la saisie', 'les accès'])} ?"
+        if k % 3 == 0:
+            refused.add(f"q{k}")
+            rows.append((f"q{k}", q, (rng.choice(heads) + rng.choice(cores).format(rng.choice(topics)) + "." + rng.choice(tails))))
+        else:
+            parts = [" ".join(rng.choices([f"mot{x}" for x in range(300)], k=rng.randint(4, 12))).capitalize() + "." for _ in range(rng.randint(1, 4))]
+            rows.append((f"q{k}", q, rng.choice(["Oui.", f"{k} jours.", f"Le service {rng.choice(names)}.", " ".join(parts), " ".join(parts), "Cela dépend. " + " ".join(parts)])))
+    assert not any(P.speaks_of_refusal(a) for _, _, a in rows)
+    found = {r.query_id for r in P.templates(P.assess(frame(spark, rows))).collect()}
+    assert found <= refused and len(found) >= 0.9 * len(refused)
+
+
+def test_hot_buckets_lose_no_cluster(spark):
+    """Openings that meet in buckets whose least member is unlike them still find each other; recall of the bands is above their formula."""
+    import numpy as np
+
+    kept = [r.opening_id for r in P.opening_clusters(spark.createDataFrame([(k, f"mot{k % 5} suite commune du modèle numéro {chr(97 + k % 7)} {chr(97 + k % 11)}") for k in range(120)], "opening_id long, opening string")).collect()]
+    assert len(set(kept)) == 120
+    bands = 1 - (1 - np.array([0.5, 0.6, 0.7]) ** P.ROWS) ** P.BANDS
+    assert (bands >= [0.95, 0.99, 0.999]).all()
