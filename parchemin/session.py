@@ -64,16 +64,22 @@ def _width(name: str, kind: T.DataType) -> Column:
     return F.lit(8)
 
 
+def measured(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` as a checkpoint, and whether it has at most ``limit`` rows and ``limit_bytes`` bytes."""
+    kept = checkpoint(df)
+    row = sum((_width(f.name, f.dataType) for f in kept.schema), F.lit(8))
+    rows, size = kept.agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
+    return kept, rows <= limit and size <= limit_bytes
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Checkpoint and measure ``df``; a broadcast where it has at most ``limit`` rows and ``limit_bytes`` bytes, otherwise a sort-merge join.
+    """Checkpoint and measure ``df``; a broadcast where it is small, otherwise a sort-merge join.
 
     The second hint keeps the planner from a broadcast of its own, which it
     would base on an estimate that counts neither exploded nor Python rows.
     """
-    kept = checkpoint(df)
-    row = sum((_width(f.name, f.dataType) for f in kept.schema), F.lit(8))
-    rows, size = kept.agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
-    return F.broadcast(kept) if rows <= limit and size <= limit_bytes else kept.hint("merge")
+    kept, small = measured(df, limit, limit_bytes)
+    return F.broadcast(kept) if small else kept.hint("merge")
 
 
 def hot_keys(df: DataFrame, on: str, rows: int = HOT_ROWS) -> DataFrame | None:
