@@ -99,7 +99,7 @@ def test_refusals_in_words_never_listed(spark):
     names = ["Orlu", "Vesta", "Kamir", "Dolte", "Pruna", "Zefir", "Malou", "Tibor"]
     rows, refused = [], set()
     for k in range(150):
-        q = f"Pour {rng.choice(names)}{k}, quelle est la règle {k % 37} sur {rng.choice(['le stockage', 'les visites', 'le tri', 'la saisie', 'les accès'])} ?"
+        q = f"{rng.choice(['Quand', 'Comment', 'Pourquoi', 'Qui doit', 'Faut-il'])} {rng.choice(['ranger', 'noter', 'céder', 'dater', 'classer'])} {rng.choice(['le stockage', 'les visites', 'le tri', 'la saisie', 'les accès'])} {k} ?"
         if k % 3 == 0:
             refused.add(f"q{k}")
             rows.append((f"q{k}", q, (rng.choice(heads) + rng.choice(cores).format(rng.choice(topics)) + "." + rng.choice(tails))))
