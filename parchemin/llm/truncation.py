@@ -4,13 +4,19 @@ For each source, length histograms in characters and in bytes are tested for
 spikes; a value at a spike length without terminal punctuation was cut by the
 field's limit.  Cuts elsewhere are told from the end itself: damaged
 characters, entities, escapes and tags, marks such as "[...]" or "Lire la
-suite", and prose that stops without terminal punctuation.  Lines that end a
-complete text without full stop (references, signatures, addresses, links,
-table rows, list items) are told by their form, or by their recurring as the
-last line of many different texts away from spike lengths.
+suite", and prose that stops without terminal punctuation.
 
-Everything runs as JVM expressions: one aggregation for the histograms, one for
-the last lines, both of hashes and counts only.
+How complete texts end without full stop is learned from the last lines of all
+texts, numbers and names made alike.  A line that recurs as the last one of
+many different texts away from spikes is a closing formula.  The first two
+words of a line, or its label, frame closings (signatures, places and dates, keywords) if the
+texts that end on such a line mostly end it without terminal punctuation; the
+paragraphs of prose that begin with the same words mostly end with it.  Of
+fixed forms only links, table rows and list items are told, and they, like
+framed lines, say nothing at a spike length.
+
+Everything runs as JVM expressions: one aggregation for the histograms, two for
+the last lines, all of hashes and counts only.
 
 Defined results: null, empty and blank texts are never incomplete; republished
 texts count once in the histograms and are each reported; a null source is a
@@ -28,9 +34,11 @@ from ..session import broadcast_if_small, checkpoint
 SPIKE_COUNT, SPIKE_TIMES, AROUND = 5, 8, 40
 #: A last line is a closing formula with at least this many different texts and this share of all.
 FORMULA_COUNT, FORMULA_SHARE = 3, 0.0004
+#: The first two words of a last line frame closings if at least so many different lines begin so, and this share of their texts ends without terminal punctuation.
+FRAME_COUNT, FRAME_OPEN = 3, 0.75
 
 # How cut texts and complete ones end.
-DAMAGED = r"(�|&#?[A-Za-z0-9]{0,8}|\\(u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|<[^<>]{0,80})$"
+DAMAGED = r"(�|&#?[A-Za-z0-9]{0,8}|\\(u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|<[^<>]*)$"
 MARKED = r"(?iu)(\[ ?(\.\.\.|…|suite|more) ?\]|\( ?(\.\.\.|…|suite|à suivre|continued|more|fortsetzung|sigue|continuación|continúa) ?\)|(lire|voir) la suite|lire plus|read more|continue reading|weiterlesen|mehr lesen|leer más|seguir leyendo)[\s.…»›>→]*$"
 DOTS = r"(…|\.\.\.)[\"'»”’)\]]*$"
 IDIOM = r"(?iu)(ainsi de suite|and so (on|forth)|und so (weiter|fort)|así sucesivamente|y así|usw|etc\b)"
@@ -39,10 +47,8 @@ ABBREVIATED = r"(?iu)((^|[\s(])(cf|art|al|pp|mme|dr|nr|núm|vgl|bzw|abs|z\.\s?b|
 ROW = r"^\s*\|.*\|$|^[^|]+ \| [^|].*[^|]$"
 ITEM = r"^\s*([-*•–◦]|\d{1,3}[.)])\s+\S.*[^,;:(\s]$"
 LINK = r"(^|[\s(<])((https?://|www\.)\S+\.\S+|[^\s@]+@[^\s@]+\.\p{L}{2,})$"
-REFERENCE = r"^\p{L}[\p{L} .°-]{0,24}[.:]\s*:?\s*\S*\d{4}[-/]\d+$"
-DATED = r"^(?=.{4,70}$)\p{Lu}(?!.*[.!?] \p{Lu}\p{Ll}*['’ ]\p{Ll}).*\b(19|20)\d\d$"
-LABELLED = r"^(?=.{4,110}$)\p{Lu}[\p{L}.'’ -]{1,24} ?: \S.*[^,;:(\s]$"
-SIGNED = r"(?iu)^((le |la |the |el )?[\p{L} ]{0,30}(publications( unit)?|veröffentlichungen|publicaciones)|(pour|for|für|por) \p{L}+, (la|le|the|die|der|el) [\p{L} ]{3,40}|(le|la|der|die|el|the) (déléguée?|directeur|directrice|président|présidente|rapporteur|delegate|director)( [\p{L}-]+)?)$"
+#: Names in a last line, made alike as its digits are.
+NAMES = r"(?<=\s)[(«\"]?(?:\p{L}['’])?\p{Lu}[\p{L}\p{M}'’-]*"
 
 
 def _source(column: str = "source") -> Column:
@@ -57,20 +63,22 @@ def measured(documents: DataFrame) -> DataFrame:
     """(doc_id, source, chars, bytes, text_key, line and the signs of the end): all that is needed of a non-blank text, without its text.
 
     ``line`` is the key of a last line that may be a closing formula, null for
-    other last lines.
+    other last lines; ``frame`` is the key of its first two words or label.
     """
     last = F.col("last")
     dots, marked, stopped = last.rlike(DOTS), last.rlike(MARKED), last.rlike(STOPPED)
-    open_end = (F.length("last") < 80) & (~stopped | dots) & ~marked
+    alike = F.regexp_replace(F.regexp_replace(F.regexp_replace("last", r"\p{Nd}+", "0"), NAMES, "_"), r"_(?:[\s-]+_)+", "_")
+    open_end = (~stopped | dots) & ~marked
+    frame = F.xxhash64(F.regexp_extract(alike, r"^(\S+:|\S+\s+\S+|\S+)", 1))
     return (
         documents.where("text IS NOT NULL")
         .select("doc_id", _source().alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("text_key"), F.rtrim("text", F.lit(AFTER)).alias("bare"))
         .where("bare <> ''")
         .select("doc_id", "source", "chars", "bytes", "text_key", F.trim(F.substring_index("bare", "\n", -1)).alias("last"))
         .select(
-            "doc_id", "source", "chars", "bytes", "text_key", F.when(open_end, F.xxhash64(F.regexp_replace("last", "\\p{Nd}+", "0"))).alias("line"),
+            "doc_id", "source", "chars", "bytes", "text_key", F.when(open_end, F.xxhash64(alike)).alias("line"), frame.alias("frame"),
             last.rlike(DAMAGED).alias("damaged"), marked.alias("marked"), dots.alias("dots"), (dots & last.rlike(IDIOM)).alias("idiom"), stopped.alias("stopped"), (stopped & last.rlike(ABBREVIATED)).alias("abbreviated"),
-            (~stopped & (last.rlike(ROW) | last.rlike(LINK) | last.rlike(REFERENCE) | last.rlike(DATED))).alias("form"), (~stopped & (last.rlike(ITEM) | last.rlike(LABELLED) | last.rlike(SIGNED))).alias("loose"),
+            (~stopped & (last.rlike(ROW) | last.rlike(LINK) | last.rlike(ITEM))).alias("form"),
         )
     )
 
@@ -84,7 +92,7 @@ def spikes(ends: DataFrame, count: int = SPIKE_COUNT, times: float = SPIKE_TIMES
     return histogram.withColumn("around", around).where((F.col("n") >= count) & (F.col("n") >= F.greatest(F.lit(0.25), "around") * F.lit(times))).select("source", "unit", "size", "n")
 
 
-def ending(formula: Column, at_spike: Column) -> Column:
+def ending(formula: Column, framed: Column, at_spike: Column) -> Column:
     """Why a text is incomplete, null where it is complete."""
     c = F.col
     return (
@@ -92,8 +100,7 @@ def ending(formula: Column, at_spike: Column) -> Column:
         .when(c("marked"), "marked")
         .when(c("dots"), F.when(~(c("idiom") | formula), "marked"))
         .when(c("stopped"), F.when(c("abbreviated"), "stopped"))
-        .when(c("form"), F.lit(None))
-        .when((c("loose") | formula) & (~at_spike | formula), F.lit(None))
+        .when(formula | ((c("form") | framed) & ~at_spike), F.lit(None))
         .when(at_spike, "spike")
         .otherwise("stopped")
     )
@@ -109,8 +116,10 @@ def incomplete(documents: DataFrame) -> DataFrame:
     texts = ends.select("text_key").distinct().agg(F.count("*").alias("n_all"))
     recurring = placed.where("line IS NOT NULL").select("line", "text_key", "at_spike").distinct().groupBy("line").agg(F.count("*").alias("n"), F.count_if("at_spike").alias("n_spike"))
     formulas = recurring.join(F.broadcast(texts)).where((F.col("n") >= FORMULA_COUNT) & (F.col("n") >= F.col("n_all") * F.lit(FORMULA_SHARE)) & (F.col("n_spike") * 4 < F.col("n"))).select("line", F.lit(True).alias("formula"))
-    told = placed.join(broadcast_if_small(formulas), "line", "left")
-    return told.select("doc_id", "source", ending(F.coalesce("formula", F.lit(False)), F.col("at_spike")).alias("reason"), "at_spike")
+    starts = placed.where("NOT at_spike").select("frame", "text_key", (F.col("stopped") | F.col("dots") | F.col("marked")).alias("ended"), "line").distinct().groupBy("frame").agg(F.count("*").alias("n"), F.count_if(~F.col("ended")).alias("n_open"), F.countDistinct(F.when(~F.col("ended"), F.col("line"))).alias("n_lines"))
+    frames = starts.where((F.col("n_lines") >= FRAME_COUNT) & (F.col("n_open") >= F.col("n") * F.lit(FRAME_OPEN))).select("frame", F.lit(True).alias("framed"))
+    told = placed.join(broadcast_if_small(formulas), "line", "left").join(broadcast_if_small(frames), "frame", "left")
+    return told.select("doc_id", "source", ending(F.coalesce("formula", F.lit(False)), F.coalesce("framed", F.lit(False)), F.col("at_spike")).alias("reason"), "at_spike")
 
 
 def truncation_report(documents: DataFrame) -> DataFrame:
