@@ -13,7 +13,9 @@ the order is a keyed shuffle.
 
 A source may hold any part of the rows: ranks and running sums are taken in
 hash buckets and shifted by the buckets' totals, so no task sees a whole
-source.  The driver sees one row for each source and the quotas of each shard.
+source.  The driver sees one row for each source and at most ``TOP_NODES``
+nodes of the tree; the nodes below are divided in tasks, by draws that depend on
+the seed and the node alone.
 
 Defined results: null and empty texts have no tokens and are never selected;
 sources without target, and null sources, are left out; a listed source without
@@ -25,17 +27,21 @@ document table gives an empty selection.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import broadcast_if_small, checkpoint
 from .encode import FOLDER, VOCABULARY, count_tokens
 
 #: Documents of a block, tokens of an output shard, least number of shards, rows of a hash bucket, and the key of all random choices.
 BLOCK, SHARD_TOKENS, LEAST_SHARDS, BUCKET_ROWS, SEED = 4, 1_000_000, 8, 20_000, 20240601
+#: Nodes of the tree that the driver divides at most; those below them are divided in tasks.  Blocks at most, as a draw is exact below 10^9 of them.
+TOP_NODES, MOST_BLOCKS = 4096, 500_000_000
 
 
 @dataclass
@@ -82,21 +88,58 @@ def plan(sources: list[Source], total: int | None = None) -> list[Source]:
     return sources
 
 
-def splitting_tree(blocks: list[int], shards: int, rng: np.random.Generator) -> np.ndarray:
-    """Blocks of each source for each shard (shards x sources); shard sizes differ by one block at most."""
-    out = np.zeros((shards, len(blocks)), np.int64)
-    stack = [(0, shards, np.asarray(blocks, np.int64))]
+#: A node of the tree: its shards (first, last), and of each source the blocks it holds and the number of the first one.
+TreeNode = tuple[int, int, np.ndarray, np.ndarray]
+
+
+def _children(node: TreeNode, seed: int) -> list[TreeNode]:
+    """The halves of a node; the draw depends on the seed and the node's shards only, so it is the same wherever it is made."""
+    first, last, counts, starts = node
+    middle, size = (first + last) // 2, int(counts.sum())
+    rng = np.random.default_rng([seed, first, last])
+    left = rng.multivariate_hypergeometric(counts, size * (middle - first) // (last - first), method="marginals") if size else counts
+    return [(first, middle, left, starts), (middle, last, counts - left, starts + left)]
+
+
+def top_nodes(blocks: list[int], shards: int, seed: int, most: int = TOP_NODES) -> list[TreeNode]:
+    """The nodes of the first level with at least ``most`` of them, or all shards."""
+    level: list[TreeNode] = [(0, shards, np.asarray(blocks, np.int64), np.zeros(len(blocks), np.int64))]
+    while len(level) < most and any(last - first > 1 for first, last, _, _ in level):
+        level = [child for node in level for child in (_children(node, seed) if node[1] - node[0] > 1 else [node])]
+    return level
+
+
+def leaves(node: TreeNode, seed: int) -> Iterator[TreeNode]:
+    """The shards below a node, in order."""
+    stack = [node]
     while stack:
-        first, last, counts = stack.pop()
-        if last - first == 1:
-            out[first] = counts
-            continue
-        middle = (first + last) // 2
-        size = int(counts.sum())
-        share = size * (middle - first) // (last - first)
-        left = rng.multivariate_hypergeometric(counts, share, method="marginals") if size else counts
-        stack += [(first, middle, left), (middle, last, counts - left)]
-    return out
+        node = stack.pop()
+        if node[1] - node[0] == 1:
+            yield node
+        else:
+            stack.extend(reversed(_children(node, seed)))
+
+
+def splitting_tree(blocks: list[int], shards: int, seed: int) -> np.ndarray:
+    """Blocks of each source for each shard (shards x sources); shard sizes differ by few blocks at most."""
+    return np.array([counts for node in top_nodes(blocks, shards, seed) for _, _, counts, _ in leaves(node, seed)])
+
+
+def _owners(spark: SparkSession, names: list[str], blocks: list[int], shards: int, seed: int) -> DataFrame:
+    """(source, shard, block) of all blocks: the top of the tree comes from the driver, what is below from tasks."""
+    rows = [(first, last, counts.tolist(), starts.tolist()) for first, last, counts, starts in top_nodes(blocks, shards, seed)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, counts, starts in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                node = (first, last, np.asarray(counts, np.int64), np.asarray(starts, np.int64))
+                found = [(names[j], shard, int(s), int(n)) for shard, _, many, at in leaves(node, seed) for j, (s, n) in enumerate(zip(at, many, strict=True)) if n]
+                columns = list(zip(*found, strict=True)) or [[]] * 4
+                types = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["source", "shard", "first", "n"])
+
+    top = spark.createDataFrame(rows, "first long, last long, counts array<long>, starts array<long>")
+    return top.mapInArrow(run, "source string, shard long, first long, n long").select("source", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("block"))
 
 
 def _placed(rows: DataFrame, key: Column, amount: Column, buckets: int) -> DataFrame:
@@ -145,14 +188,12 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, shar
     chosen = checkpoint(chosen)
     counts = {r.source: r.n for r in chosen.groupBy("source").agg(F.count("*").alias("n")).collect()}
     names = sorted(counts)
-    blocks = [math.ceil(counts[n] / BLOCK) for n in names]
+    block = max(BLOCK, math.ceil(sum(counts.values()) / MOST_BLOCKS))
+    blocks = [math.ceil(counts[n] / block) for n in names]
     shards = shards or max(LEAST_SHARDS, math.ceil(sum(s.quota for s in sources) / SHARD_TOKENS))
-    tree = splitting_tree(blocks, shards, np.random.default_rng(seed))
-    firsts = np.cumsum(tree, axis=0) - tree
-    ranges = [(name, k, int(firsts[k, j]), int(tree[k, j])) for j, name in enumerate(names) for k in range(shards) if tree[k, j]]
-    owner = spark.createDataFrame(ranges, "source string, shard int, first long, n long").select("source", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("block"))
+    owner = broadcast_if_small(_owners(spark, names, blocks, shards, seed))
     buckets = max(1, math.ceil(sum(counts.values()) / BUCKET_ROWS))
-    permuted = _placed(chosen, F.xxhash64(F.lit(seed + 1), "doc_id", "copy"), F.lit(1), buckets).withColumn("block", F.floor(F.col("rank") / BLOCK))
+    permuted = _placed(chosen, F.xxhash64(F.lit(seed + 1), "doc_id", "copy"), F.lit(1), buckets).withColumn("block", F.floor(F.col("rank") / block))
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "copy"), "doc_id", "copy")
     return permuted.join(owner, ["source", "block"]).select("doc_id", "source", "copy", "n_tokens", "shard", (F.row_number().over(local) - 1).alias("position")), sources
 
@@ -167,3 +208,23 @@ def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, s
     whole = F.sum("tokens").over(Window.partitionBy())
     joined = listed.join(got, "source", "left").na.fill(0, ["n_selected", "n_copies", "tokens"])
     return joined.withColumn("share", F.coalesce(F.try_divide(F.col("tokens"), whole), F.lit(0.0))).withColumn("used_up", F.col("tokens") >= F.col("available_tokens") * F.col("max_repeats"))
+
+
+def totals(documents: DataFrame, targets: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The totals at which a source is used up, with what each would give: (total, used_up, n_short, tokens, available_share, deviation, chosen).
+
+    ``tokens`` is what the sources can give of the total, ``deviation`` the sum
+    of the differences between shares and targets, ``n_short`` the number of
+    sources below their target; ``chosen`` marks the default total of ``mix``.
+    """
+    _, sources = _sized(documents, _targets(targets), folder, vocabulary)
+    present = [s for s in sources if s.capacity > 0 and s.target > 0]
+    quota = sum(s.quota for s in plan(sources))
+    rows = []
+    for edge in sorted(present, key=lambda s: s.capacity / s.target):
+        total = edge.capacity / edge.target
+        given = [min(s.target * total, s.capacity) for s in present]
+        off = sum(abs(t / sum(given) - s.target) for s, t in zip(present, given, strict=True))
+        short = sum(s.capacity < s.target * total for s in present)
+        rows.append((round(total), edge.name, short, round(sum(given)), sum(given) / sum(s.tokens for s in present), off, abs(sum(given) - quota) <= len(present)))
+    return documents.sparkSession.createDataFrame(rows, "total long, used_up string, n_short int, tokens long, available_share double, deviation double, chosen boolean")

@@ -82,6 +82,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.totals(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.incomplete(table(spark, sf_dir, "documents")).where("reason IS NOT NULL").select("doc_id")
 
@@ -90,4 +94,4 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p4_found, p4_body, p5_found, p5_clean, p6_found, p6_unified, p7_ids, p8_mix, p8_shares, p9_found, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p4_found, p4_body, p5_found, p5_clean, p6_found, p6_unified, p7_ids, p8_mix, p8_shares, p8_totals, p9_found, p9_report)}

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 600, 50
+#: Two sides of a section's border stay apart if both hold at least this part of the limit (one fourth).
+ALONE = 4
 #: The characters of Unicode's White_Space property.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = re.compile(f"[^{WHITE}]+")
@@ -39,12 +41,14 @@ SENTENCE = re.compile(r"(?<=[.!?…;:])[\"'»”)\]]*\s+")
 
 @dataclass
 class Node:
-    """A slice of the text with the nodes it consists of."""
+    """A slice of the text with the nodes it consists of; ``headed`` if it begins with a heading, ``heading`` if it is one."""
 
     start: int
     end: int
     words: int
     children: list[Node] = field(default_factory=list)
+    headed: bool = False
+    heading: bool = False
 
 
 def word_count(text: Column) -> Column:
@@ -102,10 +106,10 @@ def tree(text: str, limit: int) -> Node:
         if level:
             while path[-1][0] >= level:
                 path.pop()
-            section = Node(start, end, 0)
+            section = Node(start, end, 0, headed=True)
             path[-1][1].children.append(section)
             path.append((level, section))
-            section.children.append(block := Node(start, end, 0, [leaf]))
+            section.children.append(block := Node(start, end, 0, [leaf], True, True))
         elif now == "blank" and block:
             block.children.append(leaf)
         elif block is None or now != kind or kind == "heading":
@@ -129,24 +133,45 @@ def _measured(node: Node) -> Node:
 
 
 def _merged(units: list[Node], limit: int) -> list[Node]:
-    """Merge neighbours while their sum fits."""
+    """Merge neighbours while their sum fits; not over the border of a section when both sides are large enough to stand alone (an ``ALONE``-th of the limit)."""
     out: list[Node] = []
     for unit in units:
-        if out and out[-1].words + unit.words <= limit:
-            out[-1] = Node(out[-1].start, unit.end, out[-1].words + unit.words, [*out[-1].children, unit] if len(out[-1].children) else [out[-1], unit])
+        apart = unit.headed and out and min(out[-1].words, unit.words) * ALONE >= limit
+        if out and not apart and out[-1].words + unit.words <= limit:
+            out[-1] = Node(out[-1].start, unit.end, out[-1].words + unit.words, [*out[-1].children, unit] if len(out[-1].children) else [out[-1], unit], out[-1].headed)
         else:
             out.append(unit)
     return out
 
 
-def pack(node: Node, limit: int) -> list[Node]:
-    """Units of at most ``limit`` words: siblings merged bottom-up, oversized nodes descended into."""
+def pack(node: Node, limit: int, text: str) -> list[Node]:
+    """Units of at most ``limit`` words: siblings merged bottom-up, oversized nodes descended into; a heading stays with what follows it."""
     if node.words <= limit or not node.children:
         return [node]
     units: list[Node] = []
+    heading: Node | None = None
     for child in node.children:
-        units.extend([child] if child.words <= limit else pack(child, limit))
-    return _merged(units, limit)
+        if child.heading and child.words < limit:
+            heading = child if heading is None else Node(heading.start, child.end, heading.words + child.words, [heading, child], True, True)
+            if heading.words >= limit:
+                units.append(heading)
+                heading = None
+            continue
+        found = [child] if child.words <= limit else pack(child, limit, text)
+        if heading:
+            first = found[0]
+            if heading.words + first.words > limit:
+                # The unit after the heading is cut once more, so that its beginning fits beside the heading.
+                cut = Node(first.start, first.end, first.words)
+                _sentences(text, cut, limit - heading.words)
+                found[:1] = pack(cut, limit - heading.words, text)
+            if heading.words + found[0].words <= limit:
+                found[0] = Node(heading.start, found[0].end, heading.words + found[0].words, [heading, found[0]], True)
+            else:
+                found.insert(0, heading)
+            heading = None
+        units.extend(found)
+    return _merged([*units, heading] if heading else units, limit)
 
 
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[str, int, int]]:
@@ -155,7 +180,7 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     if len(starts) <= limit:
         return [(text, len(starts), 0)]
     body = limit - overlap
-    units = pack(tree(text, body), body)
+    units = pack(tree(text, body), body, text)
     cuts, total = [], 0
     for unit in units:
         cuts.append(total)
@@ -166,8 +191,8 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
         if following <= limit:
             cuts.pop(1)
         else:
-            ends = [m.end() for m in SENTENCE.finditer(text)]
-            bounds = [k for k in range(max(overlap, following - body), min(limit, following - 1) + 1) if starts[k] in set(ends)]
+            ends = {m.end() for m in SENTENCE.finditer(text)}
+            bounds = [k for k in range(max(overlap, following - body), min(limit, following - 1) + 1) if starts[k] in ends]
             cuts[1] = bounds[0] if bounds else max(overlap, following - body)
     out = []
     for k, first in enumerate(cuts):

@@ -35,6 +35,11 @@ HYPHENS = "\u2010\u2011\ufe63\uff0d"
 # Characters that show nothing (RE2 class body); joiners and selectors are treated apart, as emoji need them.
 INVISIBLE = r"\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{84}\x{86}-\x{9F}\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}\x{200C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FEFF}\x{FFA0}\x{FFF0}-\x{FFFB}\x{1D173}-\x{1D17A}"
 
+# Private characters that mark what is set aside, each with what stands for it where the text holds it already.
+ESCAPES = [("\ue00e", "\ue00e\ue010"), ("\ue00d", "\ue00e\ue011"), ("\ue00f", "\ue00e\ue012"), ("\ue013", "\ue00e\ue014")]
+# Scripts whose words are spelt with joiners and non-joiners (RE2 class body).
+JOINING = r"\p{Arabic}\p{Syriac}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Mongolian}"
+
 
 def _plain_forms() -> tuple[str, str]:
     """Letters and digits with a compatibility form of one character: wide and mathematical ones."""
@@ -60,11 +65,18 @@ def statement(table: str = "batch") -> str:
     mapped = f"translate(text, {_quoted(SPACES + HYPHENS + odd)}, {_quoted(' ' * len(SPACES) + '-' * len(HYPHENS) + plain)})"
     for ligature in ligatures:
         mapped = f"replace({mapped}, {_quoted(ligature)}, {_quoted(unicodedata.normalize('NFKC', ligature))})"
-    # An emoji keeps its joiner and selectors: they are set aside as private characters, the rest is dropped.
-    shown = f"regexp_replace({mapped}, '([\\p{{So}}\\x{{1F3FB}}-\\x{{1F3FF}}#*0-9])\\x{{FE0F}}', '\\1\ue00f', 'g')"
+    # An emoji keeps its joiner and selectors, a word of a script that spells with joiners keeps them: they are set aside
+    # as private characters, the rest is dropped.  Private characters of the text itself are escaped meanwhile.
+    for char, escape in ESCAPES:
+        mapped = f"replace({mapped}, '{char}', '{escape}')"
+    shown = f"regexp_replace({mapped}, '([{JOINING}\\p{{M}}])\\x{{200C}}([{JOINING}])', '\\1\ue013\\2', 'g')"
+    shown = f"regexp_replace({shown}, '([{JOINING}\\p{{M}}])\\x{{200D}}([{JOINING}])', '\\1\ue00d\\2', 'g')"
+    shown = f"regexp_replace({shown}, '([\\p{{So}}\\x{{1F3FB}}-\\x{{1F3FF}}#*0-9])\\x{{FE0F}}', '\\1\ue00f', 'g')"
     shown = f"regexp_replace({shown}, '([\\p{{So}}\\x{{1F3FB}}-\\x{{1F3FF}}\ue00f])\\x{{200D}}([\\p{{So}}])', '\\1\ue00d\\2', 'g')"
     shown = f"regexp_replace({shown}, '[{INVISIBLE}\\x{{200D}}\\x{{FE00}}-\\x{{FE0F}}]+', '', 'g')"
-    shown = f"translate({shown}, '\ue00f\ue00d', '\ufe0f\u200d')"
+    shown = f"translate({shown}, '\ue00f\ue00d\ue013', '\ufe0f\u200d\u200c')"
+    for char, escape in reversed(ESCAPES):
+        shown = f"replace({shown}, '{escape}', '{char}')"
     joined = f"nfc_normalize({shown})"
     own_cyrillic = f"regexp_matches(translate(w, {_quoted(CYRILLIC)}, ''), '\\p{{Cyrillic}}')"
     own_greek = f"regexp_matches(translate(w, {_quoted(GREEK)}, ''), '\\p{{Greek}}')"

@@ -30,12 +30,26 @@ def test_tiny_source_does_not_shrink_the_mix_to_nothing():
 
 
 def test_splitting_tree_is_exact():
-    rng = np.random.default_rng(1)
-    tree = M.splitting_tree([1000, 7, 0, 333], 13, rng)
+    tree = M.splitting_tree([1000, 7, 0, 333], 13, 1)
     assert tree.sum(axis=0).tolist() == [1000, 7, 0, 333] and tree.min() >= 0
     sizes = tree.sum(axis=1)
     assert sizes.max() - sizes.min() <= 1
-    assert M.splitting_tree([0, 0], 4, rng).sum() == 0 and M.splitting_tree([5], 1, rng).tolist() == [[5]]
+    assert M.splitting_tree([0, 0], 4, 1).sum() == 0 and M.splitting_tree([5], 1, 1).tolist() == [[5]]
+    few = [leaf for node in M.top_nodes([1000, 7, 0, 333], 13, 1, most=2) for leaf in M.leaves(node, 1)]
+    assert [counts.tolist() for _, _, counts, _ in few] == tree.tolist() and np.array([at for *_, at in few]).tolist() == (np.cumsum(tree, axis=0) - tree).tolist()
+
+
+def test_a_million_shards_need_few_nodes_on_the_driver():
+    nodes = M.top_nodes([3_000_000] * 15, 1_000_000, 7)
+    assert len(nodes) == M.TOP_NODES and sum(int(c.sum()) for _, _, c, _ in nodes) == 45_000_000
+    assert sum(1 for _ in M.leaves(nodes[-1], 7)) == nodes[-1][1] - nodes[-1][0]
+
+
+def test_totals(spark):
+    targets = spark.createDataFrame([("grand", 0.7, 2), ("petit", 0.2, 3), ("vide", 0.1, 5)], TARGETS)
+    rows = M.totals(documents(spark), targets).collect()
+    assert [r.used_up for r in rows] == ["petit", "grand"] and [r.chosen for r in rows].count(True) == 1 and rows[0].n_short == 0
+    assert M.totals(documents(spark).limit(0), targets).count() == 0
 
 
 def documents(spark):

@@ -88,3 +88,19 @@ def test_operator_counts_rows_once_and_keeps_nulls(spark):
     assert set(found) == {("a_1", 1), ("a_1", 2), ("a_2", 1), ("a_3", 1), ("a_4", 1)}
     assert found[("a_3", 1)].text is None and found[("a_4", 1)].n_words == 0 and found[("a_1", 2)].n_shared == 50
     assert S.split_oversized(df.limit(0)).count() == 0
+
+
+def test_a_heading_stays_with_what_follows():
+    words = lambda n, w: " ".join([w] * n)
+    text = f"Titre A\n{words(100, 'a')}.\n\n# Section B\n{words(549, 'b')}.\n{words(300, 'c')}.\n"
+    found = S.pieces(text, 600, 50)
+    assert len(found) > 1 and all(n <= 600 for _, n, _ in found)
+    for piece, _, _ in found:
+        assert not piece.rstrip().endswith("# Section B")
+    assert any("# Section B\nb b" in piece for piece, _, _ in found)
+
+
+def test_large_sections_are_not_merged_over_their_border():
+    part = lambda w, n: f"# Section {w}\n" + " ".join([w] * n) + ".\n"
+    starts = [piece.split("# Section")[-1].strip()[0] for piece, _, _ in S.pieces(part("a", 300) + part("b", 200) + part("c", 300), 600, 50)]
+    assert starts == ["a", "b", "c"]

@@ -49,3 +49,9 @@ def test_second_pass_changes_nothing(spark):
 
 def test_empty_table(spark):
     assert U.unify(spark.createDataFrame([], "record_type string, record_id string, text string")).count() == 0
+
+
+def test_private_characters_and_joining_scripts_stay(spark):
+    rows = [("chunk", "a", "texte  et ,  et   "), ("chunk", "b", "می‌خواهم"), ("chunk", "c", "क्‍ष"), ("chunk", "d", "ca‌fé")]
+    got = {r.record_id: r.clean for r in U.unify(spark.createDataFrame(rows, "record_type string, record_id string, text string")).collect()}
+    assert got == {"a": "texte  et ,  et   ", "b": "می‌خواهم", "c": "क्‍ष", "d": "café"}
