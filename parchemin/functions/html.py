@@ -92,12 +92,14 @@ def content_root(page: Element) -> tuple[Element, bool]:
     return page, False
 
 
-def main_text(html: str | None, most: int = 4000) -> str:
-    """Text of the content root; the middle of a longer one is left out."""
+def main_text(html: str | None, most: int | None = 4000) -> str:
+    """Text of the content root; the middle of one longer than ``most`` characters is left out, nothing where that is None."""
     root, found = content_root(parse(html))
     text = root.text(dropped=DROPPED if found else PAGE_DROPPED)
+    if most is None or len(text) <= most:
+        return text
     half = most // 2
-    return text if len(text) <= most else f"{text[:half]}\n[...]\n{text[-half:]}"
+    return f"{text[:half]}\n[...]\n{text[-half:]}"
 
 
 def preview(html: str | None, words: int = 800) -> str:

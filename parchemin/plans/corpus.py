@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import expressions as X
 from ..operators import corpus, ranking
-from ..session import table
+from ..session import table, unique
 from . import sql as S
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "chunks").distinct()
+    return unique(spark, sf_dir, "chunks")
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "doc_metadata").distinct()
+    return unique(spark, sf_dir, "doc_metadata")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import expressions as X
 from ..operators import features, where
-from ..session import table
+from ..session import unique
 from . import sql as S
 from .corpus import chunks, documents
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "rag_responses").distinct()
+    return unique(spark, sf_dir, "rag_responses")
 
 
 #: Frequent phrases of the corpus, so that the checks have something to find.

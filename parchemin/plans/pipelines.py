@@ -35,7 +35,7 @@ def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ht_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _html(spark, sf_dir)
-    text = chunking.explode_rows(rows, ["key", "html"], lambda key, html: [(key, H.main_text(html, 1000000))], "key string, main_text string")
+    text = chunking.explode_rows(rows, ["key", "html"], lambda key, html: [(key, H.main_text(html, None))], "key string, main_text string")
     return text.select("key", F.md5(F.regexp_replace("main_text", f"{X.SPACE}+", " ")).alias("text_md5"))
 
 

@@ -30,11 +30,11 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("key"), "text").distinct()
+    return unique(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("key"), "text")
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "ranked_chunks").distinct()
+    return unique(spark, sf_dir, "ranked_chunks")
 
 
 def bm_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

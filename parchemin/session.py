@@ -38,6 +38,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Columns that tell the rows of the tables with repeated rows apart.
+KEYS = {"chunks": ["chunk_id"], "rag_responses": ["query_id"], "ranked_chunks": ["query_id", "chunk_id"], "doc_metadata": ["url_hash", "scraped_at", "content_hash"]}
+
+
+def unique(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table without its repeated rows, which are equal in every column.
+
+    Rows are told apart by their key, so that only the key and the columns that
+    a query uses are read and shuffled.
+    """
+    return table(spark, sf_dir, name).dropDuplicates(KEYS[name])
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder that all executors share and cut its lineage.
 
