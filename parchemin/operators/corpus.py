@@ -46,16 +46,25 @@ def latest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+#: Ordinals of a block in which the running length of a document is taken.
+BLOCK = 1000
+
+
 def reassembled(chunks: DataFrame, document: str, ordinal: Column, text: str = "text", separator: str = "\n\n", most: int = 8000) -> DataFrame:
     """(document, n_chunks, text): a document's chunks in order, cut at ``most`` characters.
 
     Only chunks that can reach the cut are gathered: a running length in order
     drops those that start beyond it, so a document of any size needs a
-    bounded list.
+    bounded list.  The length runs in blocks of ordinals, shifted by the blocks
+    before, so a long document is shared among tasks.
     """
-    order = Window.partitionBy(document).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    placed = chunks.select(document, ordinal.alias("_o"), F.coalesce(text, F.lit("")).alias("_t"))
-    placed = placed.withColumn("_start", F.coalesce(F.sum(F.length("_t") + len(separator)).over(order), F.lit(0)))
+    length = F.length("_t") + len(separator)
+    order = Window.partitionBy(document, "_block").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = Window.partitionBy(document).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = chunks.select(document, ordinal.alias("_o"), F.coalesce(text, F.lit("")).alias("_t")).withColumn("_block", F.floor(F.col("_o") / BLOCK))
+    sums = placed.groupBy(document, "_block").agg(F.sum(length).alias("_n")).select(document, "_block", F.coalesce(F.sum("_n").over(blocks), F.lit(0)).alias("_before"))
+    placed = placed.join(sums.where(F.col(document).isNotNull()), [document, "_block"], "left")
+    placed = placed.withColumn("_start", F.coalesce("_before", F.lit(0)) + F.coalesce(F.sum(length).over(order), F.lit(0)))
     parts = F.array_sort(F.collect_list(F.when(F.col("_start") < most, F.struct("_o", "_t"))))
     return placed.groupBy(document).agg(F.count("*").alias("n_chunks"), F.substring(F.array_join(F.transform(parts, lambda x: x["_t"]), separator), 1, most).alias("text"))
 

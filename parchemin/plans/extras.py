@@ -50,13 +50,22 @@ def ht_font_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.groupBy("page_id", "section_no").agg(F.count("*").alias("n_lines"), F.min_by("line", "line_no").alias("first_line"))
 
 
+#: Pages of a block in which the entry of a page is sought.
+PAGES = 1000
+
+
 def ht_toc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections by a table of contents: from each entry's page to the one before the next entry, joined with the pages between."""
     toc = chunks(spark, sf_dir).withColumn("page", F.element_at(F.split("chunk_id", "_"), -1).cast("int")).where("page % 3 = 0").select("document_id", "page", "title")
-    upto = F.lead("page").over(Window.partitionBy("document_id").orderBy("page"))
-    entries = toc.select("document_id", F.col("page").alias("first"), F.coalesce(upto - 1, F.lit(1 << 30)).alias("last"))
+    entries = toc.select("document_id", "page", F.col("page").alias("entry")).distinct()
     pages = chunks(spark, sf_dir).select("document_id", F.element_at(F.split("chunk_id", "_"), -1).cast("int").alias("page"), F.length("text").alias("n"))
-    found = entries.join(pages, "document_id").where("page BETWEEN first AND last").groupBy("document_id", "first").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_chars"))
+    # The entry of a page is the last one up to it: sought in blocks of pages, then carried over the blocks, so a long document is shared among tasks.
+    placed = pages.join(entries, ["document_id", "page"], "left").withColumn("block", F.floor(F.col("page") / PAGES))
+    before = Window.partitionBy("document_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = placed.groupBy("document_id", "block").agg(F.max("entry").alias("most")).select("document_id", "block", F.max("most").over(before).alias("carried"))
+    upto = F.max("entry").over(Window.partitionBy("document_id", "block").orderBy("page").rangeBetween(Window.unboundedPreceding, 0))
+    placed = placed.withColumn("within", upto).join(carried, ["document_id", "block"]).withColumn("first", F.coalesce("within", "carried")).where("first IS NOT NULL")
+    found = placed.groupBy("document_id", "first").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_chars"))
     return found.select("document_id", F.col("first").alias("first_page"), "n_pages", "n_chars")
 
 
@@ -97,7 +106,9 @@ def jn_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jn_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to 5 documents that share a document's parent page, without itself."""
     rows = chunks(spark, sf_dir).where("parent_url IS NOT NULL").select("parent_url", "document_id").distinct()
-    pairs = rows.join(rows.withColumnRenamed("document_id", "related_id"), "parent_url").where("document_id <> related_id").select("document_id", "related_id").distinct()
+    # The first 6 of a parent hold the first 5 other than any document, so a parent of any size gives 6 rows a document.
+    first = ranking.top_k(rows.withColumnRenamed("document_id", "related_id"), ["parent_url"], [F.col("related_id")], 6, "n").drop("n")
+    pairs = rows.join(first, "parent_url").where("document_id <> related_id").select("document_id", "related_id").distinct()
     return ranking.top_k(pairs, ["document_id"], [F.col("related_id")], 5, "position")
 
 

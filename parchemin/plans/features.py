@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import expressions as X
 from ..operators import features, where
-from ..session import unique
+from ..session import table, unique
 from . import sql as S
 from .corpus import chunks, documents
 
@@ -27,8 +27,9 @@ def flt_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flt_keyword_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = features.keyword_score(F.col("text"), F.col("url"))
-    return documents(spark, sf_dir).select("doc_id", F.round(score, 4).alias("score")).where("score >= 1.4")
+    # Filtered within an array, the score is computed once; a filter on the column would be pushed down and compute it again.
+    score = F.round(features.keyword_score(F.col("text"), F.col("url")), 4)
+    return documents(spark, sf_dir).select("doc_id", F.explode(F.filter(F.array(score), lambda x: x >= 1.4)).alias("score"))
 
 
 def flt_where(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import expressions as X
 from ..functions import providers
 from ..operators import answers as A
 from ..operators import bm25, dense, ranking
-from ..session import checkpoint, table
+from ..session import checkpoint, table, unique
 from . import sql as S
 
 
