@@ -236,6 +236,7 @@ list_transform(list_filter(list_transform(regexp_extract_all(lower(answer), '(\\
 list_transform(list_filter(regexp_extract_all(lower(answer), '(?:article|art\\.?)\\s+(\\d+(?:[.\\-]\\d+)?)', 1), lambda x: NOT contains(lower(coalesce(context, '')), x)), lambda x: 'article ' || x),
 list_transform(list_filter(regexp_extract_all(lower(answer), '(\\d{{1,2}}\\s+(?:{_MONTHS})\\s+\\d{{4}})', 1), lambda x: NOT contains(lower(coalesce(context, '')), x) AND x NOT IN ({', '.join(map(S.text, vocab.KNOWN_DATES))})), lambda x: 'date ' || x))"""
 _GROUNDED = f"(SELECT c.*, x.context, {_UNSUPPORTED} AS unsupported, {_of(_IDS, 'answer')} AS ids FROM {_CITED} c LEFT JOIN {_CONTEXTS} x USING (query_id))"
+_WHOLE = f"(SELECT query_id, string_agg(text, chr(10) ORDER BY original_rank NULLS FIRST, chunk_id) AS context FROM {S.RANKED} GROUP BY ALL)"
 _NORM = f"trim(regexp_replace(lower(coalesce({{0}}, '')), '{S.SPACE}+', ' ', 'g'))"
 _NUMBERS = "array_to_string(list_transform(string_split({0}, ' '), lambda w: CASE w " + " ".join(f"WHEN {S.text(k)} THEN {S.text(v)}" for k, v in vocab.NUMBER_WORDS.items()) + " ELSE w END), ' ')"
 
@@ -296,3 +297,9 @@ CASE WHEN {S.any_of('lower(answer)', vocab.EVASIVE)} THEN 'evasive' END, CASE WH
     "ev_runs": """WITH r AS (SELECT user_id, count(*) AS n, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s, round(max(value) - min(value), 4) AS spread FROM events WHERE event_type = 'purchase' GROUP BY ALL)
 SELECT user_id, n, round(m, 6) AS mean, round(s, 6) AS std, spread, CASE WHEN spread < 5 THEN 'stable' WHEN spread < 50 THEN 'varying' ELSE 'unstable' END AS stability FROM r""",
 }
+
+ORACLE |= {
+    "val_grounding_whole": ORACLE["val_grounding"].replace(_CONTEXTS, _WHOLE),
+    "val_unsupported_whole": ORACLE["val_unsupported"].replace(_CONTEXTS, _WHOLE),
+    "cx_context_whole": f"SELECT query_id, length(context) AS n_chars, length(context) > {GATE} AS is_cut, md5(CASE WHEN length(context) > {GATE} THEN substr(context, 1, {GATE}) || {S.text(CUT).replace(chr(10), "' || chr(10) || '")} ELSE context END) AS context_md5 FROM {_WHOLE}",
+}

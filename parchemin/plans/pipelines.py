@@ -28,9 +28,15 @@ def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     body = F.transform(lines, lambda x, k: F.when(F.pmod(k, F.lit(7)) == 0, F.concat(F.lit("<h2>"), line(x), F.lit("</h2>"))).otherwise(F.concat(F.lit("<p>"), line(x), F.lit("</p>"))))
     head = F.lit('<html><body><nav><a href="/menu#top">Menu</a></nav><main><div class="breadcrumb">Accueil</div><script>x()</script>')
-    tail = F.lit('<p class="date">5 septembre 2024</p><a href="/suite?p=1#a">.</a><img src="img/a.png"></main><footer>Pied</footer></body></html>')
+    # One of three forms of date, another day on each page.
+    day, month, year = F.pmod("page_id", F.lit(28)).cast("int") + 1, F.pmod("page_id", F.lit(12)).cast("int") + 1, F.pmod("page_id", F.lit(15)).cast("int") + 2010
+    named = F.concat(F.lit('<p class="date">'), day.cast("string"), F.lit(" "), F.element_at(F.array(*map(F.lit, vocab.MONTHS)), month), F.lit(" "), year.cast("string"), F.lit("</p>"))
+    span = F.concat(F.lit('<p><span class="element-date">'), F.format_string("%02d/%02d/%d", day, month, year), F.lit("</span></p>"))
+    time = F.concat(F.lit('<p><time datetime="'), F.format_string("%d-%02d-%02dT08:00:00", year, month, day), F.lit('">.</time></p>'))
+    dated = F.when(F.pmod("page_id", F.lit(3)) == 0, named).when(F.pmod("page_id", F.lit(3)) == 1, span).otherwise(F.concat(span, named, time))
+    tail = F.lit('<a href="/suite?p=1#a">.</a><img src="img/a.png"></main><footer>Pied</footer></body></html>')
     base = F.coalesce("source_url", F.lit("https://site.example/a/b"))
-    return _pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("key"), base.alias("base"), F.concat(head, F.array_join(body, ""), tail).alias("html"))
+    return _pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("key"), base.alias("base"), F.concat(head, F.array_join(body, ""), dated, tail).alias("html"))
 
 
 def ht_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,8 +180,11 @@ QUERIES = {
     for f in (ht_main_text, ht_preview, ht_sections, ht_links, ht_dates, ch_pages, ch_documents, ch_paragraphs, ch_batches, ch_zones, val_clean_json, cx_listed, udf_embeddings, udf_rerank, udf_summaries, ag_answers, corpus_build)
 }
 
-_P = "(SELECT DISTINCT page_id, source_url, text FROM page_texts)"
+_P = "(SELECT DISTINCT page_id, source_url, text, page_id % 28 + 1 AS d, page_id % 12 + 1 AS m, page_id % 15 + 2010 AS y, page_id % 3 AS form FROM page_texts)"
+_NAMED = f"d || ' ' || {S.listed(vocab.MONTHS)}[m] || ' ' || y"
+_SLASHED = "printf('%02d/%02d/%d', d, m, y)"
+_DATED = f"CASE form WHEN 0 THEN {_NAMED} WHEN 1 THEN {_SLASHED} ELSE {_SLASHED} || ' ' || {_NAMED} || ' .' END"
 ORACLE = {
-    "ht_main_text": f"SELECT CAST(page_id AS VARCHAR) AS key, md5(trim(regexp_replace(replace(text, chr(10), ' ') || ' 5 septembre 2024 .', '{S.SPACE}+', ' ', 'g'))) AS text_md5 FROM {_P}",
-    "ht_dates": f"SELECT CAST(page_id AS VARCHAR) AS key, CAST(0 AS INTEGER) AS position, '2024-09-05' AS page_date FROM {_P}",
+    "ht_main_text": f"SELECT CAST(page_id AS VARCHAR) AS key, md5(trim(regexp_replace(replace(text, chr(10), ' ') || ' ' || {_DATED} || ' .', '{S.SPACE}+', ' ', 'g'))) AS text_md5 FROM {_P}",
+    "ht_dates": f"SELECT CAST(page_id AS VARCHAR) AS key, CAST(unnest(range(0, CASE WHEN form = 2 THEN 3 ELSE 1 END)) AS INTEGER) AS position, printf('%d-%02d-%02d', y, m, d) AS page_date FROM {_P}",
 }
