@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import answers, corpus, extras, features, logs, pipelines, replies, search
+from .plans import answers, corpus, extras, features, logs, pipelines, replies, roundtrips, search
 
 #: Modules of queries; each has QUERIES and ORACLE.
-MODULES = (search, corpus, features, answers, logs, pipelines, extras, replies)
+MODULES = (search, corpus, features, answers, logs, pipelines, extras, replies, roundtrips)
 
 FLAGSHIP = "bm_document_search"
 

@@ -51,20 +51,25 @@ def unique(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name).dropDuplicates(KEYS[name])
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder that all executors share and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, for checkpoints and written tables.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where
+    It is the one the cluster names in ``spark.checkpoint.dir``.  Where
     the setting is absent a temporary folder serves a local session (tests); on
     a cluster that folder would lie on single machines, so it is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parchemin-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -67,7 +67,7 @@ def delete_rows(spark: SparkSession, path: str, condition: str, partition: str |
 
 
 def _replace(spark: SparkSession, rows: DataFrame, path: str, partition: str | None) -> None:
-    """Write to a folder beside the table, then rename both."""
+    """Write to a folder beside the table, then rename both; between the renames, which move no data, a reader finds no table."""
     jvm = spark.sparkContext._jvm
     fresh, old = f"{path}.new", f"{path}.old"
     writer = rows.write.mode("overwrite")
