@@ -61,7 +61,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        if folder is None and not re.match(r"local(\[[^\]]*\])?$", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parchemin-checkpoint-"))
     return context.getCheckpointDir()
