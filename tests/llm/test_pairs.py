@@ -92,14 +92,14 @@ def test_empty_table(spark):
 
 
 def test_refusals_in_words_never_listed(spark):
-    """Held-out wordings in three languages with and without courtesies, amid answers of varied length: the templates alone find nine of ten and nothing else."""
+    """Held-out wordings in three languages with and without courtesies, amid answers of varied length and prompts of many subjects: the templates alone find nine of ten and nothing else."""
     rng = random.Random(5)
     cores = ["Mon corpus reste muet à propos de {}", "Voilà une demande que j'esquive volontiers", "Le moteur a rendu une page blanche pour {}", "That falls in a blind spot of this tool", "My shelves hold not one line on {}", "Der Bestand schweigt sich über {} ganz aus"]
     topics, heads, tails = ["la paie", "les badges", "le vote", "les contrats types"], ["", "Pardonnez-moi, ", "Eh bien, "], ["", " Tentez votre chance demain.", " Un collègue saura."]
     names = ["Orlu", "Vesta", "Kamir", "Dolte", "Pruna", "Zefir", "Malou", "Tibor"]
     rows, refused = [], set()
     for k in range(150):
-        q = f"{rng.choice(['Quand', 'Comment', 'Pourquoi', 'Qui doit', 'Faut-il'])} {rng.choice(['ranger', 'noter', 'céder', 'dater', 'classer'])} {rng.choice(['le stockage', 'les visites', 'le tri', 'la saisie', 'les accès'])} {k} ?"
+        q = f"{rng.choice(['Quand', 'Comment', 'Pourquoi', 'Qui doit', 'Faut-il'])} {rng.choice(['ranger', 'noter', 'céder', 'dater', 'classer', 'vendre', 'lier', 'ouvrir', 'trier', 'signer'])} {rng.choice(['le stockage', 'les visites', 'le tri', 'la saisie', 'les accès', 'le quai', 'les cartes', 'la cour', 'les dons', 'le parc'])} {k} ?"
         if k % 3 == 0:
             refused.add(f"q{k}")
             rows.append((f"q{k}", q, (rng.choice(heads) + rng.choice(cores).format(rng.choice(topics)) + "." + rng.choice(tails))))
