@@ -119,3 +119,39 @@ def test_hot_buckets_lose_no_cluster(spark):
     assert len(set(kept)) == 120
     bands = 1 - (1 - np.array([0.5, 0.6, 0.7]) ** P.ROWS) ** P.BANDS
     assert (bands >= [0.95, 0.99, 0.999]).all()
+
+
+def _in_one_bucket(count: int) -> list[tuple[int, str]]:
+    """Openings that share the first dozen of their words, which is enough to meet and too little to be alike."""
+    rng = random.Random(9)
+    shared = "le comité de suivi du plan teste la charte des agents communaux"
+    return [(k, f"{shared} {' '.join(rng.sample([f'mot{x}' for x in range(5000)], 8))}") for k in range(count)]
+
+
+def test_heads_of_a_bucket_cost_no_jobs(spark, monkeypatch):
+    """However many members of a bucket are unlike each other, the clustering takes as many steps on the driver."""
+    real, steps = P.checkpoint, []
+    monkeypatch.setattr(P, "checkpoint", lambda df: steps.append(1) or real(df))
+    taken = []
+    for count in (6, 40):
+        steps.clear()
+        assert P.opening_clusters(spark.createDataFrame(_in_one_bucket(count), "opening_id long, opening string")).count() == 0
+        taken.append(len(steps))
+    assert taken[0] == taken[1]
+
+
+def test_buckets_in_parts_lose_no_link(spark):
+    """Each member is linked to the first head alike to it; a bucket taken in parts gives the same clusters."""
+    families = [[f"famille{a}{w}" for w in "abcdefgh"] for a in range(5)]
+    rows = _in_one_bucket(30) + [(100 + 20 * a + k, " ".join([*words, f"fin{k}"])) for a, words in enumerate(families) for k in range(20)]
+    bands = P.checkpoint(P._bands(spark.createDataFrame(rows, "opening_id long, opening string")))
+    whole, parts = ({tuple(r) for r in P._links(bands, most).collect()} for most in (1000, 3))
+    buckets, expected = {}, set()
+    for r in sorted(bands.collect(), key=lambda r: r.opening_id):
+        heads = buckets.setdefault(r.band, [])
+        x = set(P._shingles(r.opening).tolist())
+        head = next((k for k, y in heads if len(x & y) >= P.ALIKE * len(x | y)), None)
+        heads.append((r.opening_id, x)) if head is None else expected.add((r.opening_id, head))
+    assert whole == expected and len(whole) >= 95
+    clusters = [{tuple(r) for r in P.components(spark.createDataFrame(sorted(x), "a long, b long")).collect()} for x in (whole, parts)]
+    assert clusters[0] == clusters[1] == {(100 + 20 * a + k, 100 + 20 * a) for a in range(5) for k in range(20)}
