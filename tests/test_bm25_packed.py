@@ -110,3 +110,10 @@ def test_shuffle_does_not_grow_with_pairs_that_share_a_term(spark):
     asked = spark.range(300).select(F.col("id").cast("string").alias("query_id"), F.concat(F.lit("commun mot"), F.col("id") % 50).alias("text"))
     # 1.2 million pairs share a term; a pair takes some bytes even compressed.
     assert shuffled(spark, lambda: bm25.search(docs, asked, 5)) < 1_200_000
+
+
+def test_answers_search_once(spark, tables):
+    from parchemin.plans import pipelines
+
+    # What the attempts read is there already: the plan neither searches nor joins the chunks' texts again.
+    assert not [f for f in pipelines.ag_answers(spark, tables).inputFiles() if "chunks.parquet" in f]
